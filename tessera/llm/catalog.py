@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, distinctive, packing, ranking, terms
+from tessera.llm import bpe, distinctive, markup, packing, ranking, sentences, terms, texts
 from tessera.session import cut, scratch
 from tessera.sources.tables import table
 
@@ -27,6 +27,34 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_terms(spark, root).where("mark is not null").select("field", "term", "mark")
 
 
+def _bodies(spark: SparkSession, root: str) -> DataFrame:
+    """knowledge_docs.body and chunks.text, one row of each record."""
+    docs = table(spark, root, "knowledge_docs", "doc_id", "version", "body", "ingested_at")
+    chunks = table(spark, root, "chunks", "chunk_id", "text", "indexed_at")
+    return texts.field(docs, "knowledge_docs.body", F.concat("doc_id", F.lit("@"), "version"), "body", "ingested_at").unionByName(
+        texts.field(chunks, "chunks.text", F.col("chunk_id"), "text", "indexed_at")
+    )
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return texts.spread(_bodies(spark, root), ["field", "rec_id"], "char_from bigint, char_to bigint", sentences.units)
+
+
+def p2_sentences(spark: SparkSession, root: str) -> DataFrame:
+    """The units with their words, in order."""
+    rows = lambda t: [(i, t[a:b]) for i, (a, b) in enumerate(sentences.units(t))]
+    return texts.spread(_bodies(spark, root), ["field", "rec_id"], "unit_no bigint, sentence string", rows)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return texts.spread(_bodies(spark, root), ["field", "rec_id"], "kind string, content string", markup.elements)
+
+
+def p4_clean(spark: SparkSession, root: str) -> DataFrame:
+    """Clean text of every record, structure kept."""
+    return texts.spread(_bodies(spark, root), ["field", "rec_id"], "clean string", lambda t: [(markup.clean(t),)])
+
+
 def _distinctive(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "chunks", "chunk_id", "section_path", "text", "indexed_at")
     return distinctive.scores(chunks, "chunk_id", ["section_path", "text"], "indexed_at").withColumnRenamed("rec", "chunk_id")
@@ -136,8 +164,12 @@ select query_id, chunk_id from latest l where not exists (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
+    "p2_found": p2_found,
+    "p2_sentences": p2_sentences,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
     "p6_found": p6_found,
     "p6_ranking": p6_ranking,
     "p8_ids": p8_ids,
