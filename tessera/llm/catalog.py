@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, distinctive, markup, packing, ranking, sentences, terms, texts
+from tessera.llm import bpe, distinctive, markup, packing, pii, ranking, sentences, terms, texts
 from tessera.session import cut, scratch
 from tessera.sources.tables import table
 
@@ -85,6 +85,27 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return ranking.undominated(cut(placed, "placed")).select(F.col("grp").alias("query_id"), F.col("item").alias("chunk_id"))
 
 
+#: Key of the surrogates; a deployment passes its own.
+KEY = b"tessera-demo-key"
+
+
+def _requests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    chat = table(spark, root, "chat_requests", "request_id", "message", "received_at")
+    save = table(spark, root, "save_requests", "save_id", "payload", "received_at")
+    return texts.field(chat, "chat_requests.message", F.col("request_id"), "message", "received_at"), texts.field(save, "save_requests.payload", F.col("save_id"), "payload", "received_at")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    chat, save = _requests(spark, root)
+    return pii.found(chat).unionByName(pii.found(save, is_json=True))
+
+
+def p7_masked(spark: SparkSession, root: str) -> DataFrame:
+    """The texts with typed placeholders that hold surrogates."""
+    chat, save = _requests(spark, root)
+    return pii.masked(chat, KEY).unionByName(pii.masked(save, KEY, is_json=True))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -172,6 +193,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_clean": p4_clean,
     "p6_found": p6_found,
     "p6_ranking": p6_ranking,
+    "p7_found": p7_found,
+    "p7_masked": p7_masked,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_packing": p9_packing,
