@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, distinctive, markup, packing, pii, ranking, sentences, terms, texts
+from tessera.llm import abuse, bpe, distinctive, markup, packing, pii, ranking, sentences, terms, texts
 from tessera.session import cut, scratch
 from tessera.sources.tables import table
 
@@ -132,6 +132,22 @@ def p9_summary(spark: SparkSession, root: str) -> DataFrame:
     return packing.summary(packed, containers)
 
 
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Score of every document."""
+    docs = table(spark, root, "documents", "doc_id", "source", "text")
+    model = abuse.fit(docs, table(spark, root, "review_labels", "doc_id", "category"), "doc_id", "text", "category")
+    return abuse.score(docs, ["doc_id", "source"], "text", model)
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return p10_scores(spark, root).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Documents, flagged documents and their share per source."""
+    return abuse.rates(p10_scores(spark, root), "source")
+
+
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''").replace("{", "{{").replace("}", "}}")
 #: DuckDB has no NFKC: composition and the full-width forms, which are what the tables hold inside terms.
@@ -199,6 +215,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_decoded": p8_decoded,
     "p9_packing": p9_packing,
     "p9_summary": p9_summary,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 SQL = {
