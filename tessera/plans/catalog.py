@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import history
+from tessera.plans import history, search
 
-_MODULES = (history,)
+_MODULES = (search, history)
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return history.p5_found(spark, root)
+    return search.o72_selected(spark, root)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
