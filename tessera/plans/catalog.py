@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import history, search
+from tessera.plans import answering, history, search
 
-_MODULES = (search, history)
+_MODULES = (search, answering, history)
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return search.o72_selected(spark, root)
+    return answering.o103_answers(spark, root)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
