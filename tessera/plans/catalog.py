@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import answering, history, search
+from tessera.plans import answering, history, operations, search
 
-_MODULES = (search, answering, history)
+_MODULES = (search, answering, operations, history)
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
