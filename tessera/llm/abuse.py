@@ -41,9 +41,9 @@ SHORT = 20
 LABELLED = 12_000
 POSITIVE = ("abuse", "hate", "sexual")
 ROUNDS = 4
-THRESHOLD = 0.6
+THRESHOLD = 0.7
 #: Mean log-count ratio below which a sentence is common speech, whatever a document's label says.
-LIFT = -0.1
+LIFT = 0.2
 #: Least score at which the next round takes a sentence of a positive document for positive.
 PICK = 0.5
 
@@ -127,13 +127,12 @@ class Model:
         return max((self.sentence(s) for s in pieces(text)), default=0.0)
 
 
-def _ratios(positive: list[tuple[str, float]], background: np.ndarray, documents: float) -> np.ndarray:
-    """Log of how much more often an n-gram occurs in the positive sentences than in all documents, both smoothed
-    by one occurrence: what was seen once, such as a part of a name, hardly counts."""
-    p, total = np.zeros(1 << BITS), 0.0
-    for s, w in positive:
-        p[features(s)] += w
-        total += w
+def _ratios(positive: list[list[str]], background: np.ndarray, documents: float) -> np.ndarray:
+    """Log of how much more often an n-gram occurs in positive documents (given by those sentences of theirs that
+    count) than in all documents, both smoothed by one: what was seen once, such as a part of a name, hardly counts."""
+    p, total = np.zeros(1 << BITS), len(positive)
+    for d in positive:
+        p[np.unique(np.concatenate([features(s) for s in d]))] += 1
     return np.log((p + 1) / (background * (total / max(documents, 1.0)) + 1)).astype(np.float32)
 
 
@@ -169,23 +168,24 @@ def train(labelled: list[tuple[str, int]], background: np.ndarray, documents: fl
     seeds = [(plain(s), y) for y, s in SEEDS]
     clean = {s for d, y in docs if not y for s in d}
     # Round 0: every sentence of a positive document, then the one that stands out most.
-    first = [(s, 1.0 / len(d)) for d, y in docs if y for s in d]
-    ratio = _ratios(first + [(s, 1.0) for s, y in seeds if y], background, documents)
+    start = [[s] for s, y in seeds if y]
+    ratio = _ratios([d for d, y in docs if y] + start, background, documents)
     mean = lambda s: float(ratio[features(s)].mean())
     raw = lambda s: mean(s) * np.sqrt(len(features(s)))
     picked = [max((s for s in d if s not in clean), key=raw, default=None) for d, y in docs if y]
-    positive = [(s, 1.0) for s in picked if s and mean(s) >= LIFT]
+    positive = [[s] for s in picked if s and mean(s) >= LIFT]
     model: Model | None = None
     for turn in range(ROUNDS):
-        ratio = _ratios(positive + [(s, 1.0) for s, y in seeds if y], background, documents)
+        ratio = _ratios(positive + start, background, documents)
         worst = {id(d): max(map(model.sentence, d)) for d, y in docs if not y} if model else {}
         negative = {s for d, y in docs if not y and worst.get(id(d), 0.0) < 0.9 for s in d}
         if model:
             negative |= {s for d, y in docs if y for s in d if model.sentence(s) < 0.1}
-        mine = {s for s, _ in positive}
+        mine = {s for d in positive for s in d}
         chosen = [(s, 1, 1.0) for s in mine] + [(s, 0, 1.0) for s in negative - mine] + [(s, y, 1.0) for s, y in seeds]
         model = _fit(chosen, ratio)
-        positive = [(s, 1.0) for d, y in docs if y for s in d if s not in clean and model.sentence(s) >= PICK and mean(s) >= LIFT]
+        kept = [[s for s in d if s not in clean and model.sentence(s) >= PICK and mean(s) >= LIFT] for d, y in docs if y]
+        positive = [d for d in kept if d]
     return model
 
 

@@ -287,12 +287,12 @@ def visible(raw: str, kind: str) -> str:
 
 # -- classification ---------------------------------------------------------------------------------
 
-SHORT, LONG, DENSE, THIN, LINKED = 40, 120, 0.08, 0.02, 0.6
+SHORT, LONG, DENSE, THIN, LINKED, MENU = 40, 120, 0.08, 0.02, 0.6, 3
 _LINK = re.compile(r"\[[^\[\]]*\]\([^()]*\)|\[\[[^\[\]]*\]\]|<a\b[^>]*>(.*?)</a\s*>|\\href\{[^{}]*\}\{[^{}]*\}|https?://\S+", re.S | re.I)
 
 
 def classify(blocks: list[Block], text: str, kind: str) -> None:
-    """Label every block ``content`` or ``residue``."""
+    """Label every block ``content`` or ``residue``; three or more neighbours made of links are decided residue."""
     for b in blocks:
         if b.kind in (CODE, FORMULA, TABLE):
             b.label = "open"
@@ -304,13 +304,22 @@ def classify(blocks: list[Block], text: str, kind: str) -> None:
         tokens = re.findall(r"\w+", words.lower())
         stops = sum(t in STOPWORDS or (len(t) > 1 and t[-1] in "은는을를이가의에도로") for t in tokens) / max(1, len(tokens))
         if linked > LINKED and size > 3:
-            b.label = "residue"
+            b.label = "linked"
         elif size < SHORT or b.kind == HEADING:
             b.label = "open"
         elif stops >= DENSE or (size >= LONG and stops >= THIN):
             b.label = "content"
         else:
             b.label = "open"
+    # A link alone may be a word of the text; a row of them is a menu.
+    i = 0
+    while i < len(blocks):
+        j = i
+        while j < len(blocks) and blocks[j].label == "linked":
+            j += 1
+        for b in blocks[i:j]:
+            b.label = "residue" if j - i >= MENU else "open"
+        i = max(j, i + 1)
     decided = [(i, b.label) for i, b in enumerate(blocks) if b.label != "open"]
     k = 0
     for i, b in enumerate(blocks):

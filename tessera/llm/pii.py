@@ -78,7 +78,7 @@ _ADDRESS = re.compile(
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+)*"
 _LATIN = rf"{_CAP}(?: (?:[A-Z]\.|(?:van|von|de|der|da|di|du|la|le)(?= [A-Z])|{_CAP})){{0,2}}"
 _FULL = rf"{_CAP}(?: (?:[A-Z]\.|(?:van|von|de|der|da|di|du|la|le)(?= [A-Z])))*(?: {_CAP})"
-_KO = r"[가-힣] ?[가-힣]{1,3}"
+_KO = r"[가-힣] ?[가-힣]{1,3}?"
 _HAN = r"[一-鿿々]{1,4}[ 　]?[一-鿿々ぁ-んァ-ヶー]{1,4}"
 _ANY = rf"{_LATIN}|{_KO}"
 _RANK = "대리|과장|차장|부장|팀장|사원|주임|선임|책임|수석|이사|상무|전무|대표|매니저|실장|본부장"
