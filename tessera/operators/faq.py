@@ -36,5 +36,5 @@ def match(queries: DataFrame, faq: DataFrame) -> DataFrame:
     score = F.col("n") / (F.col("nq") + F.col("nf") - F.col("n"))
     best = common.withColumn("score", score).groupBy("qtext").agg(F.min(F.struct((-F.col("score")).alias("neg"), "doc_id", "pos")).alias("b")).where(-F.col("b.neg") >= MATCH)
     found = best.select("qtext", "b.doc_id", "b.pos", F.round(-F.col("b.neg"), 4).alias("faq_score")).join(faq, ["doc_id", "pos"])
-    hay = korean.normalize(F.concat_ws(" ", "question", "answer"))
-    return found.where(F.exists(korean.subject_terms(F.col("qtext")), lambda t: F.contains(hay, t)))
+    found = found.withColumn("_hay", korean.normalize(F.concat_ws(" ", "question", "answer")))
+    return found.where(F.exists(korean.subject_terms(F.col("qtext")), lambda t: F.contains(F.col("_hay"), t))).drop("_hay")

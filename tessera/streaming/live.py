@@ -30,9 +30,9 @@ def query_log(events: DataFrame, at: str, user: str, message: str) -> DataFrame:
     return events.select(F.col(at).alias("at"), F.col(user).alias("employee_no"), text.fingerprint(F.coalesce(F.col(message), F.lit(""))).alias("query_hash"), code.alias("code"))
 
 
-def rate_limited(events: DataFrame, user: str, event: str, at: str, limit: int = LIMIT, period: float = PERIOD) -> DataFrame:
+def rate_limited(events: DataFrame, user: str, event: str, at: str, limit: int = LIMIT, period: float = PERIOD, late: str = "10 minutes") -> DataFrame:
     """``user, event, accepted`` on a stream. State per user: the times of the accepted events of the last period; it
-    goes when the user pauses longer."""
+    goes when the watermark says that the user paused longer."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,9 +42,9 @@ def rate_limited(events: DataFrame, user: str, event: str, at: str, limit: int =
         rows = pd.concat(list(parts)).sort_values(["t", event])
         accepted = [limiter.accept(t) for t in rows["t"]]
         state.update((list(limiter.past),))
-        state.setTimeoutDuration(int(period * 2000))
+        state.setTimeoutTimestamp(max(int((rows["t"].max() + period) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({user: [key[0]] * len(rows), event: rows[event].to_numpy(), "accepted": accepted})
 
     u, e = events.schema[user].dataType.simpleString(), events.schema[event].dataType.simpleString()
-    timed = events.where(F.col(user).isNotNull() & F.col(at).isNotNull()).select(user, event, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"))
-    return timed.groupBy(user).applyInPandasWithState(run, f"{user} {u}, {event} {e}, accepted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.where(F.col(user).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late).select(user, event, at, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"))
+    return timed.groupBy(user).applyInPandasWithState(run, f"{user} {u}, {event} {e}, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
