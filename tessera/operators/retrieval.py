@@ -8,8 +8,12 @@ of the chunks: only the first ``top`` of them can be needed, so no query meets a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -155,3 +159,45 @@ def dense_cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.coalesce(F.when(norm > 0, dot(a, b) / norm), F.lit(0.0))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+    """``query_id, rank, vec_id, cosine``: the ``k`` nearest of ``vectors`` (vec_id, embedding) to each query vector but itself.
+
+    Queries go to the vectors in blocks of about ``block`` (what the driver and each task hold), every batch of vectors
+    keeps its own best ``k`` of each query, and only those are shuffled. Cosines are rounded to six places, ties go to
+    the smaller id; a null or zero vector has cosine 0 to all.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    parts = []
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
+        if rows:
+            parts.append(vectors.select("vec_id", "embedding").mapInPandas(_best([r.vec_id for r in rows], [r.embedding for r in rows], k), "query_id bigint, vec_id bigint, cosine double"))
+    if not parts:
+        return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("cosine")).where("false")
+    line = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+
+
+def _unit(rows: list, size: int) -> np.ndarray:
+    m = np.array([r if r is not None and len(r) == size else [0.0] * size for r in rows], dtype=np.float64).reshape(len(rows), size)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _best(ids: list[int], embeddings: list, k: int):  # noqa: ANN202
+    size = max((len(e) for e in embeddings if e is not None), default=0)
+    q, names = _unit(embeddings, size), np.array(ids)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.sort_values("vec_id")
+            mine = pdf["vec_id"].to_numpy()
+            cos = np.round(q @ _unit(list(pdf["embedding"]), size).T, 6) + 0.0
+            cos[names[:, None] == mine[None, :]] = -2.0
+            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            out = pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "vec_id": mine[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()})
+            yield out[out["cosine"] > -2.0]
+
+    return run

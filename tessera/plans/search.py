@@ -105,16 +105,9 @@ def o139_scope_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def o58_dense(spark: SparkSession, root: str) -> DataFrame:
-    """The five nearest vectors by cosine of every vector whose id is divisible by 20, against all vectors.
-
-    The query vectors travel in one array literal-free broadcast of checked size; beyond it they would go in blocks.
-    """
+    """The five nearest vectors by cosine of every vector whose id is divisible by 20, among all vectors."""
     e = table(spark, root, "embeddings", "vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.withColumn("block", F.lit(0)).join(q.withColumn("block", F.lit(0)), "block").where("query_id <> vec_id")
-    scored = pairs.select("query_id", "vec_id", F.round(retrieval.dense_cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
-    best = scored.groupBy("query_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("cosine", (-F.col("vec_id")).alias("neg"))))), 1, 5).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), (-F.col("x.neg")).alias("vec_id"), "x.cosine")
+    return retrieval.nearest(e, e.where("vec_id % 20 = 0"))
 
 
 _ASKS = f"asks as (select id, min(user_id) as employee_no, min({sql.normal('query')}) as qtext from golden_set where id is not null and query is not null and trim(query) <> '' group by id)"
