@@ -92,9 +92,13 @@ def candidates(queries: DataFrame, index: Index, with_bigrams: bool = True, vect
     """Union of the best ``TOP`` chunks by BM25 and by cosine, ties to the earlier chunk, zero scores included."""
     fill = queries.select("qtext", F.explode(F.array(*[F.lit(i).cast("long") for i in index.first])).alias("chunk_ord"), F.lit(0.0).alias("bm25"), F.lit(0.0).alias("cosine"))
     pairs = scores(queries, index, with_bigrams).unionByName(fill).groupBy("qtext", "chunk_ord").agg(F.round(F.sum("bm25"), 10).alias("bm25"), F.round(F.sum("cosine"), 10).alias("cosine"))
-    w = W.partitionBy("qtext")
-    ranked = pairs.withColumn("by_bm25", F.row_number().over(w.orderBy(F.desc("bm25"), "chunk_ord"))).withColumn("by_cosine", F.row_number().over(w.orderBy(F.desc("cosine"), "chunk_ord")))
-    return ranked.where((F.col("by_bm25") <= TOP) | ((F.col("by_cosine") <= TOP) if vectors else F.lit(False)))
+
+    def best(by: str) -> DataFrame:
+        # A limit on row_number alone is applied before the shuffle too, so no query's pairs meet in one task.
+        line = W.partitionBy("qtext").orderBy(F.desc(by), "chunk_ord")
+        return pairs.withColumn("_place", F.row_number().over(line)).where(F.col("_place") <= TOP).drop("_place")
+
+    return best("bm25").unionByName(best("cosine")).dropDuplicates(["qtext", "chunk_ord"]) if vectors else best("bm25")
 
 
 def pools(asks: DataFrame, found: DataFrame, chunks: DataFrame, people: DataFrame, today: str) -> DataFrame:
