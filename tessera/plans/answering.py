@@ -141,6 +141,11 @@ select request_id, case when blocked is not null then 'block' when third and hea
 QUERIES = {k: v for k, v in globals().items() if k[0] == "o" and k[1].isdigit()}
 SQL = {
     "o30_clean": f"with {sql.CHUNKS} select chunk_id, {_clean('text')} as clean from ch where text is not null",
+    # RE2 has no lookbehind: a mark after each end stands for the split.
+    "o32_sentences": f"""with {sql.CHUNKS}, l as (select chunk_id, list_transform(string_split(text, chr(10)), lambda x: case when trim(x) = '' or starts_with(trim(x), '|') or starts_with(trim(x), '---') then []
+  when regexp_matches(x, '{_ITEM}') then [{_clean(f"regexp_extract(x, '{_ITEM}', 1)")}]
+  else list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(x), '([.!?])\\s+', '\\1' || chr(1), 'g'), '니다\\.\\x01?', '니다.' || chr(1), 'g'), chr(1)), lambda y: {_clean('y')}), lambda y: length(y) >= 8) end) as s from ch where text is not null),
+f as (select chunk_id, list_filter(flatten(s), lambda y: y <> '') as s from l), u as (select chunk_id, unnest(s) as sentence, generate_subscripts(s, 1) - 1 as pos from f) select chunk_id, pos, sentence from u""",
     "o33_list_items": f"""with {sql.CHUNKS}, l as (select chunk_id, list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_ITEM}')), lambda x: struct_pack(item := {_clean(f"regexp_extract(x, '{_ITEM}', 1)")}, ordered := regexp_matches(x, '^\\s*\\d+\\.\\s+'))), lambda r: length(r.item) >= 6) as r from ch where text is not null),
 u as (select chunk_id, unnest(r) as x, generate_subscripts(r, 1) - 1 as pos from l) select chunk_id, pos, x.item as item, x.ordered as ordered from u""",
     "o36_section_names": f"with {sql.CHUNKS}, p as (select chunk_id, title, list_filter(string_split(coalesce(section_path, ''), ' > '), lambda x: x <> '' and x <> coalesce(title, '')) as parts from ch where text is not null) select chunk_id, case when len(parts) > 0 then parts[-1] else '' end as heading, case when len(parts) > 0 then array_to_string(parts, ' > ') else title end as section from p",

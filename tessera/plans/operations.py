@@ -146,3 +146,9 @@ b as (select coalesce(o.doc_id, n.doc_id) as doc_id, o.r as o, n.r as n from o f
 u as (select doc_id, 'version' as attribute, o[1] as before, n[1] as after from b union all select doc_id, 'status', o[2], n[2] from b union all select doc_id, 'owner_dept', o[3], n[3] from b union all select doc_id, 'valid_until', o[4], n[4] from b)
 select * from u where before is distinct from after""",
 }
+SQL["o132_metrics"] = f"""with {sql.search_ctes(search.TODAY)}, gt as ({search.SQL['o75_gate']}),
+dc as (select id, list(doc_id) as docs from sel group by id),
+ga as (select id, any_value(query_type) as query_type, any_value(expected_docs) as ed, any_value(expected_behavior) as eb from golden_set where id is not null group by id),
+ja as (select ga.*, docs, coalesce(sufficient, false) as sufficient from ga left join dc using (id) left join gt using (id))
+select query_type, count(*) as items, round(avg(case when len(ed) > 0 then coalesce(list_has_any(docs, ed), false)::int end), 6) as recall,
+  round(avg(case when eb = 'block' then (not sufficient)::int end), 6) as blocked, round(avg(case when eb <> 'block' then (not sufficient)::int end), 6) as false_blocked from ja group by query_type"""
