@@ -21,6 +21,14 @@ def field(df: DataFrame, name: str, rec: Column, text: str, at: str | None = Non
     )
 
 
+def evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread by hash of ``keys`` over some tasks a core. Text in Python costs far more than this shuffle, and a
+    small table comes in fewer partitions than there are cores; hashing gives the same partitions on a retry."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def spread(df: DataFrame, keys: list[str], schema: str, rows: Callable[[str | None], list[tuple]]) -> DataFrame:
     """``keys`` and the columns of ``schema`` for every row that ``rows`` makes of a text; runs in Arrow batches,
     one text at a time, so memory holds a batch and its rows."""
@@ -39,4 +47,4 @@ def spread(df: DataFrame, keys: list[str], schema: str, rows: Callable[[str | No
             yield made[[*keys, *names]]
 
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, "text").mapInPandas(run, f"{types}, {schema}")
+    return evenly(df.select(*keys, "text"), *keys).mapInPandas(run, f"{types}, {schema}")
