@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sentences import units
+from tessera.llm.texts import evenly
+from tessera.session import cut
 
 BITS = 18
 ORDERS = (3, 4, 5, 6)
@@ -41,7 +42,7 @@ SHORT = 20
 LABELLED = 12_000
 POSITIVE = ("abuse", "hate", "sexual")
 ROUNDS = 4
-THRESHOLD = 0.7
+THRESHOLD = 0.55
 #: Mean log-count ratio below which a sentence is common speech, whatever a document's label says.
 LIFT = 0.2
 #: Least score at which the next round takes a sentence of a positive document for positive.
@@ -79,9 +80,15 @@ def plain(sentence: str) -> str:
 @lru_cache(maxsize=20_000)
 def features(s: str) -> np.ndarray:
     """Distinct hashed character n-grams of a plain sentence."""
-    padded = f" {s} "
-    grams = {padded[i : i + n] for n in ORDERS for i in range(len(padded) - n + 1)}
-    return np.unique(np.fromiter((zlib.crc32(g.encode()) >> (32 - BITS) for g in grams), np.int32, len(grams)))
+    codes = np.frombuffer(f" {s} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found, h = [], codes
+    for n in range(2, max(ORDERS) + 1):
+        if len(h) < 2:
+            break
+        h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        if n in ORDERS:
+            found.append((h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS))
+    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
 
 
 def _windows(s: str) -> list[str]:
@@ -136,7 +143,7 @@ def _ratios(positive: list[list[str]], background: np.ndarray, documents: float)
     return np.log((p + 1) / (background * (total / max(documents, 1.0)) + 1)).astype(np.float32)
 
 
-def _fit(chosen: list[tuple[str, int, float]], ratio: np.ndarray, steps: int = 400, pull: float = 1e-6) -> Model:
+def _fit(chosen: list[tuple[str, int, float]], ratio: np.ndarray, steps: int, pull: float = 1e-6) -> Model:
     """Logistic regression on n-grams scaled by ``ratio``; weights are pulled towards 1, classes weigh alike."""
     rows = [features(s) for s, *_ in chosen]
     y = np.array([c for _, c, _ in chosen], float)
@@ -155,16 +162,16 @@ def _fit(chosen: list[tuple[str, int, float]], ratio: np.ndarray, steps: int = 4
         gw, gb = np.bincount(index, g[of] * scale, len(w)) + pull * (w - 1), g.sum()
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= 0.02 * (mw / c1) / (np.sqrt(vw / c2) + 1e-6)
+        w -= 0.04 * (mw / c1) / (np.sqrt(vw / c2) + 1e-6)
         b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
     weights = ratio.copy()
     weights[used] *= w
     return Model(weights, float(b))
 
 
-def train(labelled: list[tuple[str, int]], background: np.ndarray, documents: float) -> Model:
-    """A model of labelled texts (text, 1 or 0), given how many of all ``documents`` hold each n-gram."""
-    docs = [(d, y) for d, y in ((pieces(t), y) for t, y in labelled) if d]
+def train(labelled: list[tuple[list[str], int]], background: np.ndarray, documents: float) -> Model:
+    """A model of labelled documents (their pieces, 1 or 0), given how many of all ``documents`` hold each n-gram."""
+    docs = [(d, y) for d, y in labelled if d]
     seeds = [(plain(s), y) for y, s in SEEDS]
     clean = {s for d, y in docs if not y for s in d}
     # Round 0: every sentence of a positive document, then the one that stands out most.
@@ -183,7 +190,7 @@ def train(labelled: list[tuple[str, int]], background: np.ndarray, documents: fl
             negative |= {s for d, y in docs if y for s in d if model.sentence(s) < 0.1}
         mine = {s for d in positive for s in d}
         chosen = [(s, 1, 1.0) for s in mine] + [(s, 0, 1.0) for s in negative - mine] + [(s, y, 1.0) for s, y in seeds]
-        model = _fit(chosen, ratio)
+        model = _fit(chosen, ratio, 250 if turn == ROUNDS - 1 else 100)
         kept = [[s for s in d if s not in clean and model.sentence(s) >= PICK and mean(s) >= LIFT] for d, y in docs if y]
         positive = [d for d in kept if d]
     return model
@@ -199,22 +206,34 @@ def labels(review: DataFrame, id_column: str, category: str) -> DataFrame:
     )
 
 
-def document_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """How many documents hold each hashed n-gram, and how many documents there are. A task adds its documents up
-    into one vector of fixed length, so what is shuffled and collected doesn't grow with a partition."""
+def split(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, pieces`` of every document, written once: the counts, the training and the scores all read it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            pdf["pieces"] = [pieces(t) for t in pdf["text"]]
+            yield pdf.drop(columns="text")
+
+    types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return cut(evenly(docs.select(*keys, F.col(text).alias("text")), *keys).mapInPandas(run, f"{types}, pieces array<string>"), "pieces")
+
+
+def document_counts(parted: DataFrame, key: str) -> tuple[np.ndarray, int]:
+    """How many documents hold each hashed n-gram, and how many documents with any there are. A task adds its documents
+    up into one vector of fixed length, so what is shuffled and collected doesn't grow with a partition."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         for pdf in parts:
-            for t in pdf["text"]:
-                if found := pieces(t):
+            for found in pdf["pieces"]:
+                if len(found):
                     total[np.unique(np.concatenate([features(s) for s in found]))] += 1
                     n += 1
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": np.append(at, -1), "n": np.append(total[at], n)})
 
-    sums = docs.select(F.col(text).alias("text")).where("text is not null").mapInPandas(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    # 2 ** BITS rows at most.
+    sums = evenly(parted.select(key, "pieces"), key).select("pieces").mapInPandas(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    # 2 ** BITS + 1 rows at most.
     got = sums.toPandas()
     counts = np.zeros(1 << BITS)
     real = got[got["gram"] >= 0]
@@ -222,25 +241,24 @@ def document_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return counts, int(got.loc[got["gram"] < 0, "n"].sum())
 
 
-def fit(docs: DataFrame, review: DataFrame, id_column: str, text: str, category: str, limit: int = LABELLED) -> Model:
-    """Train on the labelled documents, at most ``limit`` of them (the bound on what the driver holds)."""
-    counts, documents = document_counts(docs, text)
-    named = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text is not null")
-    sample = named.join(labels(review, id_column, category), "id").orderBy(F.xxhash64("id"), "id").limit(limit).select("text", "y")
-    return train([(r.text, r.y) for r in sample.collect()], counts, documents)
+def fit(parted: DataFrame, review: DataFrame, key: str, category: str, limit: int = LABELLED) -> Model:
+    """Train on the labelled documents of a :func:`split` table, at most ``limit`` of them (what the driver holds)."""
+    counts, documents = document_counts(parted, key)
+    sample = parted.withColumnRenamed(key, "id").join(labels(review, key, category), "id").orderBy(F.xxhash64("id"), "id").limit(limit).select("pieces", "y")
+    return train([(list(r.pieces), r.y) for r in sample.collect()], counts, documents)
 
 
-def score(docs: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
-    """``keys`` and the score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB whatever the data
+def score(parted: DataFrame, keys: list[str], model: Model) -> DataFrame:
+    """``keys`` and the score of every document of a :func:`split` table."""
+    shared = parted.sparkSession.sparkContext.broadcast(model)  # 1 MB whatever the data
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            pdf["score"] = [shared.value.text(t) for t in pdf["text"]]
-            yield pdf.drop(columns="text")
+            pdf["score"] = [max(map(shared.value.sentence, p), default=0.0) for p in pdf["pieces"]]
+            yield pdf.drop(columns="pieces")
 
-    types = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, F.col(text).alias("text")).mapInPandas(run, f"{types}, score double")
+    types = ", ".join(f"`{k}` {parted.schema[k].dataType.simpleString()}" for k in keys)
+    return evenly(parted.select(*keys, "pieces"), *keys).mapInPandas(run, f"{types}, score double")
 
 
 def rates(scored: DataFrame, source: str, threshold: float = THRESHOLD) -> DataFrame:

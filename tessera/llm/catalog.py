@@ -134,9 +134,9 @@ def p9_summary(spark: SparkSession, root: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, root: str) -> DataFrame:
     """Score of every document."""
-    docs = table(spark, root, "documents", "doc_id", "source", "text")
-    model = abuse.fit(docs, table(spark, root, "review_labels", "doc_id", "category"), "doc_id", "text", "category")
-    return abuse.score(docs, ["doc_id", "source"], "text", model)
+    parted = abuse.split(table(spark, root, "documents", "doc_id", "source", "text"), ["doc_id", "source"], "text")
+    model = abuse.fit(parted, table(spark, root, "review_labels", "doc_id", "category"), "doc_id", "category")
+    return abuse.score(parted, ["doc_id", "source"], model)
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:

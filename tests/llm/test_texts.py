@@ -158,7 +158,7 @@ def test_abuse_held_out():
     counts, n = np.zeros(1 << abuse.BITS), len(truth)
     for t, _ in truth:
         counts[np.unique(np.concatenate([abuse.features(s) for s in abuse.pieces(t)]))] += 1
-    model = abuse.train(noisy, counts, n)
+    model = abuse.train([(abuse.pieces(t), y) for t, y in noisy], counts, n)
     right = [(model.text(t) >= abuse.THRESHOLD) == bool(y) for t, y in truth[250:]]
     assert sum(right) / len(right) > 0.93
     assert model.text(None) == model.text("") == model.text(" ") == 0.0
@@ -168,8 +168,9 @@ def test_abuse_frames(spark):
     docs = spark.createDataFrame([(1, "너는 쓰레기야 꺼져.", "a"), (2, "신청서를 내 주세요.", None), (3, None, None), (4, "", "a")], "doc_id long, text string, source string")
     review = spark.createDataFrame([(1, " ABUSE "), (1, "abuse"), (1, "none"), (2, "None"), (3, "odd"), (None, "abuse"), (4, None)], "doc_id long, category string")
     assert {tuple(r) for r in abuse.labels(review, "doc_id", "category").collect()} == {(1, 1), (2, 0)}
-    model = abuse.fit(docs, review, "doc_id", "text", "category")
-    scored = abuse.score(docs, ["doc_id", "source"], "text", model)
+    parted = abuse.split(docs, ["doc_id", "source"], "text")
+    model = abuse.fit(parted, review, "doc_id", "category")
+    scored = abuse.score(parted, ["doc_id", "source"], model)
     got = {r.doc_id: r.score for r in scored.collect()}
     assert len(got) == 4 and got[3] == got[4] == 0.0 and got[1] > got[2]
     assert {(r.source, r.documents) for r in abuse.rates(scored, "source").collect()} == {("a", 2), (None, 2)}
