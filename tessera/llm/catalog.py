@@ -101,9 +101,9 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_masked(spark: SparkSession, root: str) -> DataFrame:
-    """The texts with typed placeholders that hold surrogates."""
-    chat, save = _requests(spark, root)
-    return pii.masked(chat, KEY).unionByName(pii.masked(save, KEY, is_json=True))
+    """The texts with typed placeholders that hold surrogates, of one vault over both fields."""
+    chat, save = pii.masked_together([(t, is_json) for t, is_json in zip(_requests(spark, root), (False, True))], KEY)
+    return chat.unionByName(save)
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:

@@ -21,6 +21,7 @@ import hmac
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -329,12 +330,21 @@ def _cut_out(text: str | None, is_json: bool, given: dict[tuple[str, str], str])
 
 def masked(df: DataFrame, key: bytes, is_json: bool = False) -> DataFrame:
     """``field, rec_id, text`` with every entity replaced by ``[kind: surrogate]``; JSON stays JSON."""
+    return masked_together([(df, is_json)], key)[0]
+
+
+def masked_together(tables: list[tuple[DataFrame, bool]], key: bytes) -> list[DataFrame]:
+    """:func:`masked` of several tables ``(table, is_json)`` under one vault: an entity has the same surrogate in all
+    of them, and no surrogate is an entity of any."""
     named = F.udf(canonical, "string")
-    hits = cut(found(df, is_json).withColumn("name", named("kind", "pii_text")), "pii")
-    own = (
-        hits.join(vault(hits.select("kind", "name", F.col("pii_text").alias("value")), key), ["kind", "name"])
-        .groupBy("field", "rec_id").agg(F.collect_list(F.struct("kind", "pii_text", "surrogate")).alias("given"))
-    )
+    hits = [cut(found(df, is_json).withColumn("name", named("kind", "pii_text")), "pii") for df, is_json in tables]
+    values = [h.select("kind", "name", F.col("pii_text").alias("value")) for h in hits]
+    given = vault(reduce(DataFrame.unionByName, values), key)
+    return [_replaced(df, is_json, h, given) for (df, is_json), h in zip(tables, hits)]
+
+
+def _replaced(df: DataFrame, is_json: bool, hits: DataFrame, given: DataFrame) -> DataFrame:
+    own = hits.join(given, ["kind", "name"]).groupBy("field", "rec_id").agg(F.collect_list(F.struct("kind", "pii_text", "surrogate")).alias("given"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

@@ -1,5 +1,6 @@
 """Problems 2, 4, 7, 9 and 10."""
 
+import json
 import random
 import re
 from collections import Counter
@@ -91,6 +92,18 @@ def test_surrogates_are_distinct_consistent_and_alike(spark):
     assert pii.surrogate("id_number", "900101-2345678", b"k")[7] == "2" and re.fullmatch(r"[A-Z][a-z]{3} [A-Z]\. [A-Z][a-z]{2}", pii.surrogate("name", "Anna B. Lee", b"k"))
 
 
+def test_surrogates_of_two_tables_come_from_one_vault(spark, tmp_path):
+    names = [f"{s}{a}{b}" for s in "김이박최정" for a in "가나다라마바사아" for b in "자차카타파하거너희숙미은영연"]
+    spark.createDataFrame([(str(i), f"어제 {n} 님과 통화했어요.") for i, n in enumerate(names[:400])], "request_id string, message string").selectExpr("*", "timestamp'2026-01-01' as received_at").write.parquet(str(tmp_path / "chat_requests.parquet"))
+    spark.createDataFrame([(str(i), json.dumps({"q": f"어제 {n} 님과 통화했어요."})) for i, n in enumerate(names[200:])], "save_id string, payload string").selectExpr("*", "timestamp'2026-01-01' as received_at").write.parquet(str(tmp_path / "save_requests.parquet"))
+    got = {(r.field, int(r.rec_id)): re.search(r"\[name: (.+?)\]", r.text)[1] for r in catalog.p7_masked(spark, str(tmp_path)).collect()}
+    chat = {n: got["chat_requests.message", i] for i, n in enumerate(names[:400])}
+    save = {n: got["save_requests.payload", i] for i, n in enumerate(names[200:])}
+    assert all(chat[n] == save[n] for n in names[200:400])
+    both = chat | save
+    assert len(set(both.values())) == len(names) and not set(both.values()) & set(names)
+
+
 def placed(sizes, capacity):
     plan = packing.Plan(Counter(sizes), capacity)
     bins, seen = Counter(), Counter()
