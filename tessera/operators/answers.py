@@ -18,15 +18,18 @@ from tessera.functions import korean, text
 ACTIONS, ACTIONS_PER_CHUNK, CAUTIONS, EXCERPT = 6, 3, 4, 320
 CUT = 0.62
 FAQ_SECTION = "자주 묻는 질문"
-# Notices.
+# Notices and what is said without evidence.
+NO_EVIDENCE = "확인 가능한 문서 근거가 충분하지 않습니다."
+NO_EVIDENCE_CONTACT = "인사팀 홍길동 대리(hr-demo@example.com)에게 확인해 주세요. 본 연락처는 해커톤 데모용 가상 정보입니다."
 DEMO_NOTICE = "이 안내는 해커톤 데모용 가정에 기반합니다. 실제 회사 정책이 아닙니다."
 CONFLICT_NOTICE = "참고 문서 간 안내가 서로 다릅니다. 정확한 확인이 필요합니다."
 STATUTORY_NOTICE = "은(는) 법령이 최소 기준을 정하는 항목입니다. 사내 규정이 법정 기준보다 불리한 부분은 효력이 없으므로, 실제 적용 기준은 인사팀에 확인해 주세요."
 APPLICATION_NOTICE = "규정이 개별 사안에 적용되는지는 문서 검색으로 판단하지 않습니다. 위 조문은 참고용이며, 적용 여부는 인사팀의 확인이 필요합니다."
 
+CITATIONS = "array<struct<doc_id:string,version:string,title:string,sections:array<string>,article_refs:array<string>,excerpt:string>>"
 SCHEMA = (
-    "id string, summary string, actions array<string>, citations array<struct<doc_id:string,version:string,title:string,sections:array<string>,article_refs:array<string>,excerpt:string>>, "
-    "cautions array<string>, notices array<string>"
+    f"id string, summary string, actions array<string>, citations {CITATIONS}, "
+    "cautions array<string>, notices array<string>, answered boolean"
 )
 
 
@@ -39,9 +42,10 @@ def without_branches(body: Column, terms: Column) -> Column:
 def prepared(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """One row of each question: its signals and its candidates with everything the fold looks at.
 
-    ``candidates``: id, rank, hybrid, unresolved and the chunk's columns; ``queries``: id, qtext.
+    ``candidates``: id, rank, hybrid, unresolved and the chunk's columns; ``queries``: id, qtext and ``faq``, an array
+    of the FAQ pair that answers (its chunk_id, answer and both parts, cleaned), or null.
     """
-    q = queries.select("id", "qtext", F.array_distinct(korean.tokens(F.col("qtext"))).alias("qt"))
+    q = queries.select("id", "qtext", "faq", F.array_distinct(korean.tokens(F.col("qtext"))).alias("qt"))
     hits = lambda s: korean.overlap(korean.tokens(F.lower(s)), F.col("qt"))
     body = F.coalesce(F.col("text"), F.lit(""))
     sents = F.transform(text.sentences(body), lambda s: F.struct(s.alias("s"), hits(s).alias("hits"), s.rlike(text.QUESTION).alias("question"), s.rlike(text.FORWARD).alias("forward"), s.rlike(text.ACTION).alias("action"), text.is_caution(s).alias("caution")))
@@ -53,8 +57,8 @@ def prepared(candidates: DataFrame, queries: DataFrame) -> DataFrame:
         hits(text.heading(path, title)).alias("heading_hits"), "article_ref", "demo_assumption", "doc_type", "statutory", "unresolved", sents.alias("sentences"), items.alias("items"), lines.alias("lines"), text.clean(body).alias("clean"),
     )
     qtext = F.col("qtext")
-    return candidates.join(q, "id").groupBy("id", "qtext").agg(F.array_sort(F.collect_list(row)).alias("c")).select(
-        "id", qtext.rlike(text.PROCEDURE).alias("procedural"), qtext.rlike(text.METHOD).alias("method"), qtext.rlike(text.APPLICATION).alias("application"), "c"
+    return candidates.join(q, "id").groupBy("id", "qtext").agg(F.array_sort(F.collect_list(row)).alias("c"), F.first("faq").alias("faq")).select(
+        "id", qtext.rlike(text.PROCEDURE).alias("procedural"), qtext.rlike(text.METHOD).alias("method"), qtext.rlike(text.APPLICATION).alias("application"), "c", "faq"
     )
 
 
@@ -76,21 +80,27 @@ def _excerpt(lines: list, shown: set[str]) -> str:
     return "\n".join(x["s"] for x in kept[lo:hi])
 
 
-def assemble(id_: str, procedural: bool, method: bool, application: bool, candidates: list) -> tuple:
-    """Summary, actions, citations, cautions and notices from candidates in rank order."""
+def assemble(id_: str, procedural: bool, method: bool, application: bool, candidates: list, faq: list | None = None) -> tuple:
+    """Summary, actions, citations, cautions and notices from candidates in rank order. With an FAQ pair its answer is
+    the summary, and nothing else of its chunk is told."""
     cands = list(candidates)
+    pair = faq[0] if faq is not None and len(faq) else None
     if not procedural and len(cands) > 1:
         floor = CUT * max(c["hybrid"] for c in cands)
         cands = [c for c in cands if c["hybrid"] >= floor] or cands[:1]
+    if pair:
+        cands = [c for c in cands if c["chunk_id"] == pair["chunk_id"]] or cands
     source = max(cands, key=lambda c: (c["heading_hits"], -c["rank"]))
     told = [s for s in source["sentences"] if not s["question"]]
     told = [s for s in told if not s["forward"]] or told
     best = max(range(len(told)), key=lambda i: (told[i]["hits"], -i)) if told else None
     summary = re.sub(r"^[①-⑳]\s*", "", told[best]["s"]).strip() if told else ""
+    if pair:
+        summary = pair["answer"]
 
     shown = {summary} - {""}
     actions: list[str] = []
-    for c in (cands if method else [source]) if procedural else []:
+    for c in (cands if method else [source]) if procedural and not pair else []:
         options = [x["s"] for x in c["items"] if not x["caution"] and (x["ordered"] or x["action"] or c is source)]
         options += [x["s"] for x in c["sentences"] if x["action"] and not x["caution"] and not x["forward"]]
         fresh = [s for s in dict.fromkeys(options) if s not in shown][:ACTIONS_PER_CHUNK]
@@ -99,11 +109,11 @@ def assemble(id_: str, procedural: bool, method: bool, application: bool, candid
     actions = actions[:ACTIONS]
 
     cited = cands
-    if not method and len(cands) > 1:
+    if not method and not pair and len(cands) > 1:
         cited = [c for c in cands if c["heading"] != FAQ_SECTION] or cands
     by_doc: dict[str, dict] = {}
     for c in cited:
-        piece = _excerpt(c["lines"], shown)
+        piece = pair["both"] if pair and c["chunk_id"] == pair["chunk_id"] else _excerpt(c["lines"], shown)
         entry = by_doc.setdefault(f"{c['doc_id']}@{c['version']}", {"doc_id": c["doc_id"], "version": c["version"], "title": c["title"], "sections": [], "article_refs": [], "excerpt": None})
         if c["section"] not in entry["sections"]:
             entry["excerpt"] = piece if not entry["sections"] else entry["excerpt"] + "\n\n" + piece
@@ -112,7 +122,7 @@ def assemble(id_: str, procedural: bool, method: bool, application: bool, candid
             entry["article_refs"].append(c["article_ref"])
 
     cautions: list[str] = []
-    for c in cited:
+    for c in cited if not pair else []:
         if len(cautions) < CAUTIONS:
             cautions += [s for s in dict.fromkeys(x["s"] for x in c["sentences"] if x["caution"]) if s not in cautions]
     everything = "\n".join(e["excerpt"] for e in by_doc.values())
@@ -124,23 +134,29 @@ def assemble(id_: str, procedural: bool, method: bool, application: bool, candid
         notices.append(" · ".join(statutory) + STATUTORY_NOTICE)
     if application and any(c["doc_type"] == "규정" for c in cands):
         notices.append(APPLICATION_NOTICE)
-    return id_, summary, actions, list(by_doc.values()), cautions, notices
+    return id_, summary, actions, list(by_doc.values()), cautions, notices, True
 
 
 def build(rows: DataFrame) -> DataFrame:
     """Answers of :func:`prepared` rows; a question without candidates has none."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ("id", "summary", "actions", "citations", "cautions", "notices")]
+        names = [x.split()[0] for x in ("id", "summary", "actions", "citations", "cautions", "notices", "answered")]
         for pdf in parts:
-            yield pd.DataFrame([assemble(*r) for r in zip(pdf["id"], pdf["procedural"], pdf["method"], pdf["application"], pdf["c"])], columns=names)
+            yield pd.DataFrame([assemble(*r) for r in zip(pdf["id"], pdf["procedural"], pdf["method"], pdf["application"], pdf["c"], pdf["faq"])], columns=names)
 
     return rows.mapInPandas(run, SCHEMA)
 
 
+def without_evidence(queries: DataFrame) -> DataFrame:
+    """What questions ``id`` without enough evidence are told, alike whether nothing fits or nothing may be seen."""
+    none = F.array().cast("array<string>")
+    return queries.select("id", F.lit(NO_EVIDENCE).alias("summary"), none.alias("actions"), F.array().cast(CITATIONS).alias("citations"), none.alias("cautions"), F.array(F.lit(NO_EVIDENCE_CONTACT)).alias("notices"), F.lit(False).alias("answered"))
+
+
 def unsupported(answers: DataFrame, rows: DataFrame) -> DataFrame:
     """``id, sentence`` of every shown sentence that no candidate of the question contains: must be empty."""
-    said = answers.select("id", F.explode(F.concat("actions", "cautions", F.array("summary"))).alias("sentence")).where("sentence <> ''")
+    said = answers.where("answered").select("id", F.explode(F.concat("actions", "cautions", F.array("summary"))).alias("sentence")).where("sentence <> ''")
     corpus = rows.select("id", F.array_join(F.transform("c", lambda c: c["clean"]), " ").alias("corpus"))
     return said.join(corpus, "id").where(~F.col("corpus").contains(F.col("sentence"))).select("id", "sentence")
 

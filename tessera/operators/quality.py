@@ -15,12 +15,15 @@ STATUS = ["draft", "review", "published", "expired"]
 ALPHAS = [0.2, 0.3, 0.4, 0.5, 0.6]
 
 
-def assertions(golden: DataFrame, texts: DataFrame) -> DataFrame:
-    """``id, missing, forbidden``: phrases a rendered answer lacks, and those it must not hold but does. No answer is an empty one."""
+def assertions(golden: DataFrame, texts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``id, missing, forbidden, behaviour``: phrases a rendered answer lacks, those it must not hold but does, and how the
+    outcome (``id, answered, citations``) differs from the expected behaviour, or null. No answer is an empty one."""
+    ok = F.coalesce("answered", F.lit(False))
+    wrong = F.when(F.col("expected_behavior") == "answer", F.when(~ok, "not answered").when(F.size("citations") == 0, "no citation")).when(F.col("expected_behavior").isin("block", "blocked", "no_evidence") & ok, "not blocked")
     body = F.coalesce("text", F.lit(""))
     lacks = F.filter(F.coalesce("must_contain", F.array().cast("array<string>")), lambda p: ~F.contains(body, p))
     holds = F.filter(F.coalesce("must_not_contain", F.array().cast("array<string>")), lambda p: F.contains(body, p))
-    return golden.join(texts, "id", "left").select("id", lacks.alias("missing"), holds.alias("forbidden"))
+    return golden.join(texts, "id", "left").join(outcomes, "id", "left").select("id", lacks.alias("missing"), holds.alias("forbidden"), wrong.alias("behaviour"))
 
 
 def metrics(golden: DataFrame, selected: DataFrame, gates: DataFrame) -> DataFrame:

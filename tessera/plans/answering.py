@@ -8,18 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import answers, chunking, conflict, faq, retrieval
 from tessera.plans import search, sql
+from tessera.plans.search import documents
 from tessera.session import cut
 from tessera.sources.tables import table
 
 
-def documents(spark: SparkSession, root: str) -> DataFrame:
-    """knowledge_docs, one row of each document and version: the delivery ingested last."""
-    d = table(spark, root, "knowledge_docs").where("doc_id is not null and version is not null")
-    rest = [c for c in d.columns if c not in ("doc_id", "version")]
-    order = F.struct(F.coalesce(F.col("ingested_at").cast("string"), F.lit("")), F.coalesce("body", F.lit("")))
-    return d.groupBy("doc_id", "version").agg(F.max_by(F.struct(*rest), order).alias("d")).select("doc_id", "version", "d.*")
-
-
 def o22_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Chunks cut anew from the bodies."""
     return chunking.chunk_documents(documents(spark, root)).select("chunk_id", "section_path", "char_start", "char_len", "article_ref", "text")
@@ -77,24 +70,27 @@ def o76_faq(spark: SparkSession, root: str) -> DataFrame:
     return faq.pairs(documents(spark, root), search.chunks(spark, root)).select("doc_id", "question", "answer", "chunk_ord")
 
 
-def _resolved(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    asks, index, _, selected = search.search(spark, root)
+def _resolved(spark: SparkSession, root: str, index: retrieval.Index, selected: DataFrame) -> DataFrame:
     docs = documents(spark, root)
     subs = docs.groupBy("doc_id").agg(F.max_by("subcategory", conflict.version_key(F.col("version"))).alias("subcategory"))
     rest = index.chunks.drop("chunk_id", "doc_id", "indexed_at")
     rows = selected.select("id", "rank", "hybrid", "chunk_id", "doc_id", "chunk_ord").join(rest, "chunk_ord").join(subs, "doc_id", "left")
-    return asks, conflict.resolve(rows, docs)
+    return conflict.resolve(rows, docs)
 
 
 def o92_resolved(spark: SparkSession, root: str) -> DataFrame:
     """Candidates that remain after conflicts are resolved."""
-    return _resolved(spark, root)[1].select("id", "rank", "chunk_id", "unresolved")
+    _, index, _, selected = search.search(spark, root)
+    return _resolved(spark, root, index, selected).select("id", "rank", "chunk_id", "unresolved")
 
 
 def _answers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    asks, kept = _resolved(spark, root)
-    rows = cut(answers.prepared(kept, asks), "prepared")
-    return cut(answers.build(rows), "answers"), rows
+    """Answers of all questions, and the prepared rows of those with evidence."""
+    e = search.gated(spark, root)
+    kept = _resolved(spark, root, e.index, e.selected.join(e.gates.where("sufficient").select("id"), "id", "left_semi"))
+    pair = F.struct("chunk_id", text.clean(F.col("answer")).alias("answer"), text.clean(F.concat("question", F.lit("\n"), "answer")).alias("both"))
+    rows = cut(answers.prepared(kept, e.asks.join(e.pairs.select("id", F.array(pair).alias("faq")), "id", "left")), "prepared")
+    return cut(answers.build(rows).unionByName(answers.without_evidence(e.asks.join(rows.select("id"), "id", "left_anti"))), "answers"), rows
 
 
 def o103_answers(spark: SparkSession, root: str) -> DataFrame:

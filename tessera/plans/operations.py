@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import conflict, quality, retrieval, saved, sessions
+from tessera.operators import answers, conflict, quality, saved, sessions
 from tessera.plans import answering, search, sql
 from tessera.sources.tables import table
 
@@ -72,16 +72,16 @@ def _golden(spark: SparkSession, root: str) -> DataFrame:
 
 
 def o131_assertions(spark: SparkSession, root: str) -> DataFrame:
-    """Phrases rendered answers lack or must not hold."""
-    found = quality.assertions(_golden(spark, root), answering.o130_rendered(spark, root))
-    return found.select("id", F.array_join("missing", "\n").alias("missing"), F.array_join("forbidden", "\n").alias("forbidden"))
+    """Phrases rendered answers lack or must not hold, and behaviour other than expected."""
+    told, _ = answering._answers(spark, root)
+    found = quality.assertions(_golden(spark, root), answers.rendered(told), told.select("id", "answered", "citations"))
+    return found.select("id", F.array_join("missing", "\n").alias("missing"), F.array_join("forbidden", "\n").alias("forbidden"), F.coalesce("behaviour", F.lit("")).alias("behaviour"))
 
 
 def o132_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Recall and block rates per question type."""
-    asks, index, pool, selected = search.search(spark, root)
-    gates = retrieval.gate(asks, pool, selected, retrieval.unknown_subjects(asks.select("qtext").distinct(), index.terms))
-    m = quality.metrics(_golden(spark, root), selected, gates)
+    e = search.gated(spark, root)
+    m = quality.metrics(_golden(spark, root), e.selected, e.gates)
     return m.select("query_type", "items", *[F.round(c, 6).alias(c) for c in ("recall", "blocked", "false_blocked")])
 
 

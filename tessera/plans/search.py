@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import korean
-from tessera.operators import access, retrieval
+from tessera.operators import access, faq, retrieval
 from tessera.plans import sql
 from tessera.session import cut
 from tessera.sources.tables import table
@@ -26,6 +28,14 @@ def asks(spark: SparkSession, root: str) -> DataFrame:
     return g.select("id", "user_id", korean.normalize(F.col("query")).alias("q")).groupBy("id").agg(F.min("user_id").alias("employee_no"), F.min("q").alias("qtext"))
 
 
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """knowledge_docs, one row of each document and version: the delivery ingested last."""
+    d = table(spark, root, "knowledge_docs").where("doc_id is not null and version is not null")
+    rest = [c for c in d.columns if c not in ("doc_id", "version")]
+    order = F.struct(F.coalesce(F.col("ingested_at").cast("string"), F.lit("")), F.coalesce("body", F.lit("")))
+    return d.groupBy("doc_id", "version").agg(F.max_by(F.struct(*rest), order).alias("d")).select("doc_id", "version", "d.*")
+
+
 def people(spark: SparkSession, root: str) -> DataFrame:
     return access.users(table(spark, root, "user_profiles"))
 
@@ -39,6 +49,27 @@ def search(spark: SparkSession, root: str):
     return a, index, pool, retrieval.select(retrieval.fuse(pool))
 
 
+@dataclass
+class Evidence:
+    """A search with its gate; ``pairs`` are the FAQ pairs that answer (see ``faq.hits``), already led by in ``selected``."""
+
+    asks: DataFrame
+    index: retrieval.Index
+    selected: DataFrame
+    gates: DataFrame
+    pairs: DataFrame
+
+
+def gated(spark: SparkSession, root: str) -> Evidence:
+    """The golden questions searched, and which of them have evidence: by their scores or by an FAQ pair."""
+    a, index, pool, chosen = search(spark, root)
+    chosen = cut(chosen, "selected")
+    unknown = cut(retrieval.unknown_subjects(a.select("qtext").distinct(), index.terms), "unknown")
+    pairs = cut(faq.pairs(documents(spark, root), index.chunks), "pairs")
+    found = cut(faq.hits(a, unknown, chosen, pairs, index.chunks, people(spark, root), TODAY), "hits")
+    return Evidence(a, index, faq.lead(chosen, found), faq.opened(retrieval.gate(a, pool, chosen, unknown), found), found)
+
+
 def o23_normalize(spark: SparkSession, root: str) -> DataFrame:
     return chunks(spark, root, "chunk_id", "chunk_ord", "text", "indexed_at").select("chunk_id", korean.normalize(F.col("text")).alias("normal"))
 
@@ -89,9 +120,7 @@ def o74_unknown_subjects(spark: SparkSession, root: str) -> DataFrame:
 
 def o75_gate(spark: SparkSession, root: str) -> DataFrame:
     """Signals of every question and whether they suffice for an answer."""
-    a, index, pool, selected = search(spark, root)
-    unknown = retrieval.unknown_subjects(a.select("qtext").distinct(), index.terms)
-    return retrieval.gate(a, pool, selected, unknown).select("id", "filtered_out", "acl_blocked", "cos_top1", "hybrid_top1", "citable", F.array_join("unknown", " ").alias("unknown"), "sufficient")
+    return gated(spark, root).gates.select("id", "filtered_out", "acl_blocked", "cos_top1", "hybrid_top1", "citable", F.array_join("unknown", " ").alias("unknown"), "sufficient")
 
 
 def o82_visible_documents(spark: SparkSession, root: str) -> DataFrame:

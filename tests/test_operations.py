@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import korean, normal, text
-from tessera.operators import access, conflict, faq, quality, retrieval, saved, sessions
+from tessera.operators import access, answers, conflict, faq, quality, retrieval, saved, sessions
+from tessera.plans import answering, operations, search
 from tessera.sources import files
 from tessera.streaming import live
 
@@ -163,3 +164,41 @@ def test_lint_and_changes_on_empty(spark, sf):
     a = spark.createDataFrame([("1", "x", None), ("2", "y", "k")], "k string, a string, b string")
     b = spark.createDataFrame([("1", "x", "n"), ("3", None, None)], "k string, a string, b string")
     assert {tuple(r) for r in quality.changes(a, b, "k", ["a", "b"]).collect()} == {("1", "b", None, "n"), ("2", "a", "y", None), ("2", "b", "k", None)}
+
+
+def test_answers_need_evidence_or_a_pair(spark, sf, tmp_path):
+    filler = "\n\n".join(f"**{w}는 누구에게 물어보나요?**\n{w} 담당 부서가 {w} 안내문을 보냅니다." for w in "주차장 사물함 회의실 복사기 출입증 우편물 소화기 엘리베이터 정수기 휴게실".split())
+    asked = "구내식당 점심은 언제 먹나요?"
+    bodies = {"D-900": f"## 자주 묻는 질문\n**{asked}**\n**11시 30분**부터 13시까지입니다.\n\n{filler}\n", "D-901": "## 자주 묻는 질문\n**임원 식당 예약은 누가 하나요?**\n비서실 직원이 합니다.\n", "D-902": "## 출장비\n출장비 정산은 영수증을 제출합니다."}
+
+    def write(name, rows, columns):
+        like = spark.read.parquet(f"{sf}/{name}.parquet").limit(0)
+        like.unionByName(spark.createDataFrame(rows, columns), allowMissingColumns=True).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    write("knowledge_docs", [(d, "1.0", b, "s") for d, b in bodies.items()], "doc_id string, version string, body string, subcategory string")
+    write("chunks", [(f"{d}#0", i, d, "1.0", d, f"{d} > 절", b, ["vip"] if d == "D-901" else ["all"], ["all"]) for i, (d, b) in enumerate(bodies.items())], "chunk_id string, chunk_ord long, doc_id string, doc_version string, title string, section_path string, text string, acl_groups array<string>, audience array<string>")
+    write("user_profiles", [("1", ["all"])], "employee_no string, acl_groups array<string>")
+    questions = [("faq", asked, "answer"), ("secret", "임원 식당 예약은 누가 하나요?", "no_evidence"), ("strange", "출장비 정산 쿠폰제도 영수증", "answer"), ("plain", "출장비 정산 영수증 제출", "block")]
+    write("golden_set", [(i, "1", q, b, []) for i, q, b in questions], "id string, user_id string, query string, expected_behavior string, must_contain array<string>")
+
+    gates = {r.id: r for r in search.o75_gate(spark, str(tmp_path)).collect()}
+    assert {i for i, r in gates.items() if r.sufficient} == {"faq", "plain"} and gates["faq"].cos_top1 < retrieval.GATE_COSINE and gates["strange"].unknown.startswith("쿠폰")
+    told, rows = answering._answers(spark, str(tmp_path))
+    got = {r.id: r for r in told.collect()}
+    assert got["faq"].summary == "11시 30분부터 13시까지입니다." and [c.excerpt for c in got["faq"].citations] == [f"{asked} 11시 30분부터 13시까지입니다."] and got["faq"].actions == got["faq"].cautions == []
+    assert all(got[i].summary == answers.NO_EVIDENCE and not got[i].citations and not got[i].actions for i in ("secret", "strange"))
+    assert got["plain"].answered and got["plain"].citations and answers.unsupported(told, rows).count() == 0
+    assert {r.id: r.behaviour for r in operations.o131_assertions(spark, str(tmp_path)).collect()} == {"faq": "", "secret": "", "strange": "not answered", "plain": "not blocked"}
+
+
+def test_pairs_of_two_versions_are_kept_apart(spark):
+    pairs = spark.createDataFrame([("D", 0, "휴가는 며칠인가요?", "휴가는 15일", 1), ("D", 0, "급여는 언제 주나요?", "급여는 25일", 2)], "doc_id string, pos int, question string, answer string, chunk_ord long")
+    assert [(r.question, r.faq_score) for r in faq.match(spark.createDataFrame([("휴가는 며칠인가요",)], "qtext string"), pairs).collect()] == [("휴가는 며칠인가요?", 1.0)]
+
+
+def test_a_pair_leads_what_is_selected(spark):
+    chosen = spark.createDataFrame([("a", 1, "x#1", "x", 0.3, 1), ("b", 1, "x#1", "x", 0.3, 1)], "id string, chunk_ord long, chunk_id string, doc_id string, hybrid double, rank int")
+    gates = spark.createDataFrame([("a", 1, False), ("b", 1, False), ("c", 0, False)], "id string, citable long, sufficient boolean")
+    found = spark.createDataFrame([("a", 2, "y#0", "y", True), ("b", 1, "x#1", "x", False)], "id string, chunk_ord long, chunk_id string, doc_id string, absent boolean")
+    assert {(r.id, r.rank, r.chunk_id, r.hybrid) for r in faq.lead(chosen, found).collect()} == {("a", 0, "y#0", 0.0), ("a", 1, "x#1", 0.3), ("b", 1, "x#1", 0.3)}
+    assert {(r.id, r.citable, r.sufficient) for r in faq.opened(gates, found).collect()} == {("a", 2, True), ("b", 1, True), ("c", 0, False)}
