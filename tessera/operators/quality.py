@@ -13,6 +13,9 @@ REQUIRED = ["doc_id", "title", "version", "category", "subcategory", "owner_dept
 SENSITIVITY = ["public", "internal", "restricted"]
 STATUS = ["draft", "review", "published", "expired"]
 ALPHAS = [0.2, 0.3, 0.4, 0.5, 0.6]
+# Question types that must be answered, and those the scores must block.
+ANSWERED = ["normal", "personalized", "regulation"]
+BLOCKED = ["forbidden", "no_evidence"]
 
 
 def assertions(golden: DataFrame, texts: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -37,20 +40,37 @@ def metrics(golden: DataFrame, selected: DataFrame, gates: DataFrame) -> DataFra
     )
 
 
-def sweep(pool: DataFrame, golden: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
-    """Per blend weight: recall, the least top score of answerable questions, the greatest of those to block, their gap and
-    a threshold between them. All weights in one job: each pool row is fused once per weight."""
+def sweep(pool: DataFrame, golden: DataFrame, unknown: DataFrame, pairs: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
+    """Per blend weight: recall; of the hybrid score and of the cosine the least top value of answerable questions, the
+    greatest of those to block, their gap and a threshold between them; and whether the weight is the best by recall and
+    hybrid gap (first on ties). All weights in one job: each pool row is fused once per weight.
+
+    Only questions of the types above count, and of these not the ones blocked by an unknown subject (``qtext`` in
+    ``unknown``) instead of a score; a question whose user may see no candidate has the scores 0, whatever its subjects.
+    ``pairs`` are FAQ pairs (``faq.hits``), whose documents count as found.
+    """
     each = pool.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).withColumn("id", F.struct("alpha", "id"))
-    fused = retrieval.fuse(each, F.col("alpha"))
-    best = retrieval.select(fused).groupBy("id").agg(F.max_by("hybrid", -F.col("rank")).alias("top"), F.collect_set("doc_id").alias("docs"))
-    j = best.select("id.alpha", "id.id", "top", "docs").join(golden, "id")
-    answerable = F.col("expected_behavior") != "block"
+    best = retrieval.select(retrieval.fuse(each, F.col("alpha"))).groupBy("id").agg(
+        F.round(F.max_by("hybrid", -F.col("rank")), 4).alias("top"), F.round(F.max(F.greatest("cosine", F.lit(0.0))), 4).alias("cos"), F.collect_set("doc_id").alias("docs")
+    )
+    asked = pool.groupBy("id").agg(F.min("qtext").alias("qtext"), F.bool_or(F.col("decision") == "allow").alias("seen"))
+    counted = asked.join(unknown.select("qtext", F.lit(True).alias("skip")), "qtext", "left").where(F.col("skip").isNull() | ~F.col("seen")).select("id")
+    items = counted.join(golden.where(F.col("query_type").isin(*ANSWERED, *BLOCKED)), "id").join(pairs.select("id", F.col("doc_id").alias("pair")), "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    j = items.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).join(best.select("id.alpha", "id.id", "top", "cos", "docs"), ["alpha", "id"], "left")
+    hit = F.coalesce(F.arrays_overlap("docs", "expected_docs"), F.lit(False)) | F.coalesce(F.array_contains("expected_docs", F.col("pair")), F.lit(False))
+    open_, shut = F.col("query_type").isin(*ANSWERED), F.col("query_type").isin(*BLOCKED)
     out = j.groupBy("alpha").agg(
-        F.avg(F.when(answerable & (F.size("expected_docs") > 0), F.arrays_overlap("docs", "expected_docs").cast("int"))).alias("recall"),
-        F.min(F.when(answerable, F.col("top"))).alias("least_answerable"), F.max(F.when(~answerable, F.col("top"))).alias("greatest_blocked"),
+        zero(F.avg(F.when(open_ & (F.size("expected_docs") > 0), hit.cast("int")))).alias("recall"),
+        *[zero(f(F.when(side, zero(F.col(c))))).alias(name) for c, prefix in (("top", ""), ("cos", "cos_")) for f, side, name in ((F.min, open_, f"{prefix}least_answerable"), (F.max, shut, f"{prefix}greatest_blocked"))],
     )
-    gap = F.col("least_answerable") - F.col("greatest_blocked")
-    return out.withColumn("gap", gap).withColumn("threshold", F.when(gap > 0, (F.col("least_answerable") + F.col("greatest_blocked")) / 2).otherwise(F.col("greatest_blocked") + 0.01))
+    for p in ("", "cos_"):
+        least, greatest = F.col(f"{p}least_answerable"), F.col(f"{p}greatest_blocked")
+        gap = F.round(least - greatest, 4)
+        out = out.withColumn(f"{p}gap", gap).withColumn(f"{p}threshold", F.round(F.when(gap > 0, (least + greatest) / 2).otherwise(greatest + 0.01), 3))
+    # One row of each weight.
+    top = out.agg(F.max_by("alpha", F.struct(F.round("recall", 3), "gap", -F.col("alpha"))).alias("first"))
+    return out.crossJoin(F.broadcast(top)).withColumn("best", F.col("alpha") == F.col("first")).drop("first")
 
 
 def lint(docs: DataFrame) -> DataFrame:

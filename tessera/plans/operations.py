@@ -86,9 +86,11 @@ def o132_metrics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def o134_sweep(spark: SparkSession, root: str) -> DataFrame:
-    _, _, pool, _ = search.search(spark, root)
-    s = quality.sweep(pool, _golden(spark, root))
-    return s.select("alpha", *[F.round(c, 6).alias(c) for c in ("recall", "least_answerable", "greatest_blocked", "gap", "threshold")])
+    """Recall and separation of the scores per blend weight, the best one marked."""
+    e = search.gated(spark, root)
+    s = quality.sweep(e.pool, _golden(spark, root), e.unknown, e.pairs)
+    figures = ["recall", *[p + c for p in ("", "cos_") for c in ("least_answerable", "greatest_blocked", "gap", "threshold")]]
+    return s.select("alpha", *[F.round(c, 6).alias(c) for c in figures], "best")
 
 
 def o135_lint(spark: SparkSession, root: str) -> DataFrame:

@@ -55,6 +55,8 @@ class Evidence:
 
     asks: DataFrame
     index: retrieval.Index
+    pool: DataFrame
+    unknown: DataFrame
     selected: DataFrame
     gates: DataFrame
     pairs: DataFrame
@@ -67,7 +69,7 @@ def gated(spark: SparkSession, root: str) -> Evidence:
     unknown = cut(retrieval.unknown_subjects(a.select("qtext").distinct(), index.terms), "unknown")
     pairs = cut(faq.pairs(documents(spark, root), index.chunks), "pairs")
     found = cut(faq.hits(a, unknown, chosen, pairs, index.chunks, people(spark, root), TODAY), "hits")
-    return Evidence(a, index, faq.lead(chosen, found), faq.opened(retrieval.gate(a, pool, chosen, unknown), found), found)
+    return Evidence(a, index, pool, unknown, faq.lead(chosen, found), faq.opened(retrieval.gate(a, pool, chosen, unknown), found), found)
 
 
 def o23_normalize(spark: SparkSession, root: str) -> DataFrame:

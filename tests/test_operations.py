@@ -202,3 +202,19 @@ def test_a_pair_leads_what_is_selected(spark):
     found = spark.createDataFrame([("a", 2, "y#0", "y", True), ("b", 1, "x#1", "x", False)], "id string, chunk_ord long, chunk_id string, doc_id string, absent boolean")
     assert {(r.id, r.rank, r.chunk_id, r.hybrid) for r in faq.lead(chosen, found).collect()} == {("a", 0, "y#0", 0.0), ("a", 1, "x#1", 0.3), ("b", 1, "x#1", 0.3)}
     assert {(r.id, r.citable, r.sufficient) for r in faq.opened(gates, found).collect()} == {("a", 2, True), ("b", 1, True), ("c", 0, False)}
+
+
+def test_sweep_counts_what_scores_decide(spark):
+    cols = "id string, employee_no string, qtext string, chunk_ord long, chunk_id string, doc_id string, bm25 double, cosine double, decision string"
+    rows = [(i, "1", q, k, f"{d}#{k}", d, float(b), c, how) for i, q, how, found in (
+        ("n1", "n1", "allow", [("A", 9, 0.5), ("B", 1, 0.4)]), ("n2", "n2", "allow", [("B", 5, 0.4), ("A", 1, 0.3)]), ("f1", "f1", "allow", [("C", 2, 0.2)]), ("x1", "odd", "allow", [("C", 9, 0.9)]), ("x2", "odd", "deny_acl", [("C", 9, 0.9)]),
+        ("i1", "i1", "allow", [("C", 9, 0.95)]), ("p1", "p1", "allow", [("C", 9, 0.05)])) for k, (d, b, c) in enumerate(found)]
+    golden = spark.createDataFrame([("n1", "normal", ["A"]), ("n2", "regulation", ["Z"]), ("f1", "forbidden", []), ("x1", "no_evidence", []), ("x2", "no_evidence", []), ("i1", "injection", []), ("p1", "paraphrase", ["Q"])], "id string, query_type string, expected_docs array<string>").withColumn("expected_behavior", F.when(F.col("query_type").isin("forbidden", "no_evidence", "injection"), "block").otherwise("answer"))
+    unknown = spark.createDataFrame([("odd",)], "qtext string")
+    got = {r.alpha: r for r in quality.sweep(spark.createDataFrame(rows, cols), golden, unknown, spark.createDataFrame([], "id string, doc_id string")).collect()}
+    # The blend with a lone candidate: its term score is normalised to 1.
+    want = {a: (0.5, round(a + (1 - a) * 0.4, 4), round(a + (1 - a) * 0.2, 4), 0.4, 0.2) for a in quality.ALPHAS}
+    assert {a: (r.recall, r.least_answerable, r.greatest_blocked, r.cos_least_answerable, r.cos_greatest_blocked) for a, r in got.items()} == want
+    assert all(r.gap == round(r.least_answerable - r.greatest_blocked, 4) and r.cos_gap == 0.2 and r.cos_threshold == 0.3 for r in got.values()) and [a for a, r in got.items() if r.best] == [0.2]
+    led = quality.sweep(spark.createDataFrame(rows, cols), golden, unknown, spark.createDataFrame([("n2", "Z")], "id string, doc_id string")).collect()
+    assert all(r.recall == 1.0 for r in led)
