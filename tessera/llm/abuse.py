@@ -67,6 +67,9 @@ SEEDS: tuple[tuple[int, str], ...] = (
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
 _BETWEEN = re.compile(r"(?<=[^\W\d_])[\d_.*~^·-]{1,2}(?=[^\W\d_])")
 _NUMBER = re.compile(r"\d+")
+_LINE = re.compile(r"[\n\r\u2028\u2029]+")
+#: A letter, or any sign beyond ASCII that is no blank.
+_SAID = re.compile(rf"[A-Za-z]|(?=\S)(?!{_HIDDEN.pattern})[^\x00-\x7f]")
 _LONG = re.compile(r"(.)\1{2,}")
 
 
@@ -112,11 +115,28 @@ def _windows(s: str) -> list[str]:
     return out
 
 
+def _left_out(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """What no span covers, line by line, with the rest of a word that a span cuts; marks and digits alone say nothing."""
+    out, at = [], 0
+    for a, b in [*spans, (len(text), len(text))]:
+        if _SAID.search(text, at, a):
+            first, last = at, a
+            while first > max(0, at - WINDOW) and not text[first - 1].isspace():
+                first -= 1
+            while last < min(len(text), a + WINDOW) and not text[last].isspace():
+                last += 1
+            out += [s for s in _LINE.split(text[first:last]) if _SAID.search(s)]
+        at = max(at, b)
+    return out
+
+
 def pieces(text: str | None) -> list[str]:
-    """Plain sentences of a text, long ones in overlapping stretches; a text without any sentence is one."""
+    """Plain sentences of a text and whatever stands outside of sentences (tables, code, formulas, comments, all behind
+    an unclosed tag), long ones in overlapping stretches; a text without either is one."""
     if not text or not text.strip():
         return []
-    found = [plain(text[a:b]) for a, b in units(text)] or [plain(text)]
+    spans = units(text)
+    found = [plain(s) for s in [text[a:b] for a, b in spans] + _left_out(text, spans)] or [plain(text)]
     return list(dict.fromkeys(w for s in found if s for w in _windows(s)))
 
 

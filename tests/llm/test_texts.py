@@ -177,6 +177,26 @@ def test_abuse_held_out():
     assert model.text(None) == model.text("") == model.text(" ") == 0.0
 
 
+@pytest.mark.parametrize("text", ["Hello there.\n\n| no | {} |\n|---|---|\n", "Hello there.\n\n```\n{}\n```\n", "Hello there.\n\n```\n{}", "Hello there.\n\n<pre>{}", "Hello there. <table><tr><td>{}", "Hello there.\n\n{{|\n| {}", "Hello there.\n\n$$\n{}\n$$", "Hello there. <!-- {} -->"])
+@pytest.mark.parametrize("insult", ["You are such a moron, get lost", "닥쳐 이 병신 새끼야", "お前は本当に馬鹿だな、消えろ"])
+def test_abuse_outside_of_sentences(text, insult):
+    text = text.format(insult)
+    said = " ".join(abuse.pieces(text))
+    assert all(w in said for w in abuse.plain(insult).split())
+    assert any(abuse.plain(insult)[:12] in p for p in abuse.pieces(text))
+
+
+def test_abuse_pieces_hold_every_letter():
+    rng = random.Random(2)
+    for _ in range(300):
+        words = ["".join(rng.sample("abdefghkmnoprstuvz", 6)) for _ in range(10)]
+        t = "".join(w + "".join(rng.choice(["$$", "```\n", "<pre>", "<!--", "-->", "| ", "|", "\n", "\n\n", " ", ". ", "# ", "- ", "{|", "1. "]) for _ in range(2)) for w in words)
+        held = " ".join(abuse.pieces(t))
+        assert all(w in held for w in words), t
+    assert abuse.pieces("# Head\n\n- one\n1. two") == ["head", "one", "two"]
+    assert any("a$$hole" in p for p in abuse.pieces("you a$$hole and you a$$hole."))
+
+
 def test_abuse_frames(spark):
     docs = spark.createDataFrame([(1, "너는 쓰레기야 꺼져.", "a"), (2, "신청서를 내 주세요.", None), (3, None, None), (4, "", "a")], "doc_id long, text string, source string")
     review = spark.createDataFrame([(1, " ABUSE "), (1, "abuse"), (1, "none"), (2, "None"), (3, "odd"), (None, "abuse"), (4, None)], "doc_id long, category string")
