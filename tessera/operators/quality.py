@@ -100,6 +100,25 @@ def changes(old: DataFrame, new: DataFrame, key: str, attributes: list[str]) ->
     return both.select(key, F.explode(rows).alias("r")).select(key, "r.*").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def successive_changes(snapshots: DataFrame, key: str, day: str, loaded: str, attributes: list[str], days: list[str] | None = None) -> DataFrame:
+    """``key, day, attribute, before, after`` of what differs between each snapshot of a key and its previous one; with
+    ``days`` only snapshots of these count.
+
+    Of several loads of a day the last counts. A missing snapshot is no change: the next one is compared with the last
+    there is. A key that comes after the first day of all differs in all that is not null; that a key goes can't be told
+    from missing snapshots and is none.
+    """
+    rows = snapshots.where(F.col(key).isNotNull() & F.col(day).isNotNull())
+    if days is not None:
+        rows = rows.where(F.col(day).isin(*days))
+    order = F.struct(F.coalesce(F.col(loaded).cast("timestamp"), F.timestamp_seconds(F.lit(0))), *attributes)
+    last = rows.groupBy(key, day).agg(F.max_by(F.struct(*attributes), order).alias("n"))
+    first = rows.agg(F.min(day).alias("first"))
+    told = last.withColumn("o", F.lag("n").over(W.partitionBy(key).orderBy(day))).crossJoin(F.broadcast(first)).where(F.col("o").isNotNull() | (F.col(day) > F.col("first")))
+    each = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(f"o.{a}").alias("before"), F.col(f"n.{a}").alias("after")) for a in attributes])
+    return told.select(key, day, F.explode(each).alias("r")).select(key, day, "r.*").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
 def usage(requests: DataFrame, user: str, sent: str, received: str, text: str) -> DataFrame:
     """Per hour: requests, users, empty ones, and percentiles of the delay in seconds."""
     delay = F.unix_seconds(F.col(received).cast("timestamp")) - F.unix_seconds(F.col(sent).cast("timestamp"))

@@ -97,11 +97,10 @@ def o135_lint(spark: SparkSession, root: str) -> DataFrame:
     return quality.lint(table(spark, root, "knowledge_docs"))
 
 
-def o136_metadata_changes(spark: SparkSession, root: str) -> DataFrame:
-    """What the registry changed between two snapshots."""
-    r = table(spark, root, "doc_registry", "doc_id", "snapshot_date", "version", "status", "owner_dept", "valid_until")
-    snap = lambda d: r.where(F.col("snapshot_date") == d)
-    return quality.changes(snap("2025-06-01"), snap("2026-01-01"), "doc_id", ["version", "status", "owner_dept", "valid_until"])
+def o136_metadata_changes(spark: SparkSession, root: str, days: list[str] | None = None) -> DataFrame:
+    """What the registry changed from snapshot to snapshot, or between those of ``days`` only."""
+    r = table(spark, root, "doc_registry", "doc_id", "snapshot_date", "loaded_at", "version", "status", "owner_dept", "valid_until")
+    return quality.successive_changes(r, "doc_id", "snapshot_date", "loaded_at", ["version", "status", "owner_dept", "valid_until"], days)
 
 
 _TURNS = "t as (select distinct on (request_id) * from chat_requests where request_id is not null order by request_id, received_at nulls first, coalesce(message, ''))"

@@ -218,3 +218,30 @@ def test_sweep_counts_what_scores_decide(spark):
     assert all(r.gap == round(r.least_answerable - r.greatest_blocked, 4) and r.cos_gap == 0.2 and r.cos_threshold == 0.3 for r in got.values()) and [a for a, r in got.items() if r.best] == [0.2]
     led = quality.sweep(spark.createDataFrame(rows, cols), golden, unknown, spark.createDataFrame([("n2", "Z")], "id string, doc_id string")).collect()
     assert all(r.recall == 1.0 for r in led)
+
+
+def test_metadata_changes_of_all_snapshots(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(d, f"2025-{m:02}-01", T0 + timedelta(hours=rng.randrange(9)), rng.choice(["1.0", "2.0"]), rng.choice(["a", "b", None]), "o", None) for d in ("A", "B", "C", "D") for m in range(1, 9) for _ in range(rng.choice([0, 1, 1, 2])) if d != "C" or m > 3]
+    rows += [("E", "2025-03-01", T0, "1.0", None, None, "x"), ("E", "2025-04-01", None, "9.0", None, None, "x"), ("E", "2025-04-01", T0, "1.0", None, None, "x"), (None, "2025-01-01", T0, "1", "a", "o", None), ("A", None, T0, "1", "a", "o", None), ("A", "2025-01-01", T0, "1.0", "a", "o", None)]
+    names = ["version", "status", "owner_dept", "valid_until"]
+    spark.createDataFrame(rows, "doc_id string, snapshot_date string, loaded_at timestamp, version string, status string, owner_dept string, valid_until string").write.parquet(str(tmp_path / "doc_registry.parquet"))
+
+    def plain(days):
+        kept = {}
+        for d, day, at, *values in rows:
+            if d and day and (days is None or day in days):
+                key = (at or datetime(1970, 1, 1), [v or "" for v in values])
+                kept[d, day] = max(kept.get((d, day), (key, values)), (key, values), key=lambda x: x[0])
+        before, want = {}, set()
+        start = min(day for _, day in kept)
+        for (d, day), (_, values) in sorted(kept.items()):
+            if d in before or day > start:
+                want |= {(d, day, n, b, a) for n, b, a in zip(names, before.get(d, [None] * 4), values) if a != b}
+            before[d] = values
+        return want
+
+    got = {tuple(r) for r in operations.o136_metadata_changes(spark, str(tmp_path)).collect()}
+    assert got == plain(None) and {r[1] for r in got} > {"2025-02-01", "2025-05-01"} and ("E", "2025-03-01", "version", None, "1.0") in got and not any(r[:2] == ("E", "2025-04-01") for r in got)
+    days = ["2025-01-01", "2025-06-01"]
+    assert {tuple(r) for r in operations.o136_metadata_changes(spark, str(tmp_path), days).collect()} == plain(days)
