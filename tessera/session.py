@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +28,36 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once a session, so that they need no copy of it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(made))
+    sc._tessera_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, one machine) a local folder is made and set.
+    Only where the setting is missing on one machine (tests) a local folder is made and set; with a master that is not
+    local a missing setting is an error, since executors would write to folders of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         named = current.rsplit("/", 1)[0] if current else "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
