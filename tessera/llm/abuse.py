@@ -6,9 +6,10 @@ as much as one alone, and quoting, reporting or being cross with a thing stays w
 
 The log-count ratios set the n-grams of positive sentences against those of all documents. Labels are of
 documents and noisy, so training is in rounds: first the sentence of a document labelled positive that
-stands out most is taken for positive, afterwards those the model of the round before calls so; documents
-whose label the model contradicts sit the next round out. A few sentences written for this module
-(``SEEDS``) start rare languages off. At most ``LABELLED`` labelled rows are fitted; the counts and the
+stands out most is taken for positive, afterwards those the model of the round before calls so, or the one
+nearest to it. A positive document without any sentence that stands out (``LIFT``) is taken for mislabelled,
+and a document labelled harmless that the model contradicts sits the next round out. A few sentences written
+for this module (``SEEDS``) start rare languages off. At most ``LABELLED`` labelled rows are fitted; the counts and the
 scores cover every document whole.
 
 Defined results: null, empty and blank texts score 0; labels are read without case, missing and unknown
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +46,7 @@ POSITIVE = ("abuse", "hate", "sexual")
 ROUNDS = 4
 THRESHOLD = 0.55
 #: Mean log-count ratio below which a sentence is common speech, whatever a document's label says.
-LIFT = 0.2
+LIFT = 0.45
 #: Least score at which the next round takes a sentence of a positive document for positive.
 PICK = 0.5
 
@@ -65,7 +67,11 @@ SEEDS: tuple[tuple[int, str], ...] = (
 )
 
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
-_BETWEEN = re.compile(r"(?<=[^\W\d_])[\d_.*~^·-]{1,2}(?=[^\W\d_])")
+_BETWEEN = re.compile(r"(?<=[^\W\d_])[\d_.*~^·@$!-]{1,2}(?=[^\W\d_])")
+#: Letters one by one between blanks, and signs that stand for a Latin letter inside a word.
+_SPACED = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\w)")
+_STANDS = re.compile(r"(?<=[a-z])[0134578@$!]+(?=[a-z])")
+_LETTER = str.maketrans("0134578@$!", "oieastbasi")
 _NUMBER = re.compile(r"\d+")
 _LINE = re.compile(r"[\n\r\u2028\u2029]+")
 #: A letter, or any sign beyond ASCII that is no blank.
@@ -75,9 +81,14 @@ _LONG = re.compile(r"(.)\1{2,}")
 
 def plain(sentence: str) -> str:
     """A sentence as the features see it: NFKC, lower case, what hides a word's letters taken out, numbers alike."""
-    s = _HIDDEN.sub("", unicodedata.normalize("NFKC", sentence)).lower()
-    s = _NUMBER.sub("0", _BETWEEN.sub("", s))
-    return " ".join(_LONG.sub(r"\1\1", s).split())
+    return readings(sentence)[0]
+
+
+def readings(sentence: str) -> list[str]:
+    """:func:`plain`, and where letters stand apart or signs may stand for letters, the sentence read that way too."""
+    s = " ".join(_HIDDEN.sub("", unicodedata.normalize("NFKC", sentence)).lower().split())
+    other = _STANDS.sub(lambda m: m[0].translate(_LETTER), _SPACED.sub(lambda m: m[0].replace(" ", ""), s))
+    return list(dict.fromkeys(_LONG.sub(r"\1\1", _NUMBER.sub("0", _BETWEEN.sub("", x))) for x in (s, other)))
 
 
 @lru_cache(maxsize=20_000)
@@ -136,7 +147,7 @@ def pieces(text: str | None) -> list[str]:
     if not text or not text.strip():
         return []
     spans = units(text)
-    found = [plain(s) for s in [text[a:b] for a, b in spans] + _left_out(text, spans)] or [plain(text)]
+    found = [r for s in [text[a:b] for a, b in spans] + _left_out(text, spans) or [text] for r in readings(s)]
     return list(dict.fromkeys(w for s in found if s for w in _windows(s)))
 
 
@@ -193,26 +204,29 @@ def train(labelled: list[tuple[list[str], int]], background: np.ndarray, documen
     """A model of labelled documents (their pieces, 1 or 0), given how many of all ``documents`` hold each n-gram."""
     docs = [(d, y) for d, y in labelled if d]
     seeds = [(plain(s), y) for y, s in SEEDS]
-    clean = {s for d, y in docs if not y for s in d}
-    # Round 0: every sentence of a positive document, then the one that stands out most.
     start = [[s] for s, y in seeds if y]
+    guilty, innocent = (Counter(s for d, y in docs if y == side for s in d) for side in (1, 0))
+    # A wrong label or two must not clear a sentence that mostly stands in positive documents.
+    clean = {s for s, n in innocent.items() if n >= guilty[s]}
     ratio = _ratios([d for d, y in docs if y] + start, background, documents)
-    mean = lambda s: float(ratio[features(s)].mean())
-    raw = lambda s: mean(s) * np.sqrt(len(features(s)))
-    picked = [max((s for s in d if s not in clean), key=raw, default=None) for d, y in docs if y]
-    positive = [[s] for s in picked if s and mean(s) >= LIFT]
+    mean = {s: float(ratio[features(s)].mean()) for s in guilty}
+    raw = {s: m * np.sqrt(len(features(s))) for s, m in mean.items()}
+    positives = [(d, [s for s in d if s not in clean and mean[s] >= LIFT]) for d, y in docs if y]
+    positive = [[max(own, key=raw.get)] for _, own in positives if own]
     model: Model | None = None
     for turn in range(ROUNDS):
-        ratio = _ratios(positive + start, background, documents)
         worst = {id(d): max(map(model.sentence, d)) for d, y in docs if not y} if model else {}
-        negative = {s for d, y in docs if not y and worst.get(id(d), 0.0) < 0.9 for s in d}
-        if model:
-            negative |= {s for d, y in docs if y for s in d if model.sentence(s) < 0.1}
+        negative = {s for d, y in docs if not y and worst.get(id(d), 0.0) < 0.9 for s in d if s in clean}
+        for d, _ in positives if model else []:
+            score = {s: model.sentence(s) for s in d}
+            # The rest of a document is harmless where the model has found its worst sentence; else only common speech is.
+            told = max(score.values()) >= PICK
+            negative |= {s for s in d if (score[s] < 0.1 if told else mean[s] < LIFT / 2)}
         mine = {s for d in positive for s in d}
         chosen = [(s, 1, 1.0) for s in mine] + [(s, 0, 1.0) for s in negative - mine] + [(s, y, 1.0) for s, y in seeds]
-        model = _fit(chosen, ratio, 250 if turn == ROUNDS - 1 else 100)
-        kept = [[s for s in d if s not in clean and model.sentence(s) >= PICK and mean(s) >= LIFT] for d, y in docs if y]
-        positive = [d for d in kept if d]
+        model = _fit(chosen, _ratios(positive + start, background, documents), 250 if turn == ROUNDS - 1 else 100)
+        # A document labelled positive has a positive sentence: what the model calls so, or else what comes nearest to it.
+        positive = [[s for s in own if model.sentence(s) >= PICK] or [max(own, key=lambda s: (model.sentence(s), raw[s]))] for _, own in positives if own]
     return model
 
 
