@@ -67,11 +67,12 @@ SEEDS: tuple[tuple[int, str], ...] = (
 )
 
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
-_BETWEEN = re.compile(r"(?<=[^\W\d_])[\d_.*~^·@$!-]{1,2}(?=[^\W\d_])")
+_BETWEEN = re.compile(r"(?<=[^\W\d_])[\d_.*~^·-]{1,2}(?=[^\W\d_])")
 #: Letters one by one between blanks, and signs that stand for a Latin letter inside a word.
 _SPACED = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\w)")
 _STANDS = re.compile(r"(?<=[a-z])[0134578@$!]+(?=[a-z])")
 _LETTER = str.maketrans("0134578@$!", "oieastbasi")
+_INSERTED = re.compile(r"(?<=[^\W\d_])[@$!]{1,2}(?=[^\W\d_])")
 _NUMBER = re.compile(r"\d+")
 _LINE = re.compile(r"[\n\r\u2028\u2029]+")
 #: A letter, or any sign beyond ASCII that is no blank.
@@ -85,10 +86,11 @@ def plain(sentence: str) -> str:
 
 
 def readings(sentence: str) -> list[str]:
-    """:func:`plain`, and where letters stand apart or signs may stand for letters, the sentence read that way too."""
+    """:func:`plain`, and where letters stand apart or signs may stand for letters or hide them, the sentence read so too."""
     s = " ".join(_HIDDEN.sub("", unicodedata.normalize("NFKC", sentence)).lower().split())
-    other = _STANDS.sub(lambda m: m[0].translate(_LETTER), _SPACED.sub(lambda m: m[0].replace(" ", ""), s))
-    return list(dict.fromkeys(_LONG.sub(r"\1\1", _NUMBER.sub("0", _BETWEEN.sub("", x))) for x in (s, other)))
+    joined = _SPACED.sub(lambda m: m[0].replace(" ", ""), s)
+    others = _STANDS.sub(lambda m: m[0].translate(_LETTER), joined), _INSERTED.sub("", joined)
+    return list(dict.fromkeys(_LONG.sub(r"\1\1", _NUMBER.sub("0", _BETWEEN.sub("", x))) for x in (s, *others)))
 
 
 @lru_cache(maxsize=20_000)

@@ -197,6 +197,24 @@ def test_abuse_pieces_hold_every_letter():
     assert any("a$$hole" in p for p in abuse.pieces("you a$$hole and you a$$hole."))
 
 
+def test_abuse_readings():
+    assert "you moron." in abuse.readings("You M0RON.") and "bastard!" in abuse.readings("b a s t a r d!") and "asshole" in abuse.readings("a$$hole")
+    assert "connard" in abuse.readings("co@nnard") and "씨발놈" in abuse.readings("씨 0 발 놈") and abuse.readings("plain words") == ["plain words"]
+
+
+def test_wrong_labels_do_not_clear_a_sentence():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioubdgklmnr") for _ in range(6))
+    bad, good = ["get lost you stupid clown", "i will break your legs", "they are all vermin"], ["the form is due on monday", "please sign the receipt", "the printer is slow again"]
+    docs = [([rng.choice(good), f"{word()} is closed"] + [rng.choice(bad)] * (i % 5 == 0), int(i % 5 == 0)) for i in range(1500)]
+    wrong = [(d, 1 - y) if i % 17 == 0 else (d, y) for i, (d, y) in enumerate(docs)]
+    counts = np.zeros(1 << abuse.BITS)
+    for d, _ in docs:
+        counts[np.unique(np.concatenate([abuse.features(s) for s in d]))] += 1
+    model = abuse.train(wrong, counts, len(docs))
+    assert all(model.sentence(s) >= abuse.THRESHOLD for s in bad) and all(model.sentence(s) < abuse.THRESHOLD for s in good)
+
+
 def test_abuse_frames(spark):
     docs = spark.createDataFrame([(1, "너는 쓰레기야 꺼져.", "a"), (2, "신청서를 내 주세요.", None), (3, None, None), (4, "", "a")], "doc_id long, text string, source string")
     review = spark.createDataFrame([(1, " ABUSE "), (1, "abuse"), (1, "none"), (2, "None"), (3, "odd"), (None, "abuse"), (4, None)], "doc_id long, category string")
