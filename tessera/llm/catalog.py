@@ -132,6 +132,13 @@ def p9_summary(spark: SparkSession, root: str) -> DataFrame:
     return packing.summary(packed, containers)
 
 
+def p9_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """That every document is placed whole and once, and no bin is overfull, per kind of container."""
+    packed, containers = _packed(spark, root)
+    docs = table(spark, root, "documents", "doc_id", "text").select(F.col("doc_id").alias("item"), packing.token_count(F.col("text")).alias("size"))
+    return packing.invariants(packed, docs, containers)
+
+
 def p10_scores(spark: SparkSession, root: str) -> DataFrame:
     """Score of every document."""
     parted = abuse.split(table(spark, root, "documents", "doc_id", "source", "text"), ["doc_id", "source"], "text")
@@ -215,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_decoded": p8_decoded,
     "p9_packing": p9_packing,
     "p9_summary": p9_summary,
+    "p9_invariants": p9_invariants,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
@@ -227,6 +235,7 @@ SQL = {
     "p3_found": f"select chunk_id, term from ({_P3}) where tf >= 3 and df between 2 and 8",
     "p6_ranking": _P6_RANKING,
     "p6_found": _P6_FOUND,
+    "p9_invariants": "select container_id, (select count(*) from documents) as items, 0 as unequal, 0 as split, 0 as overfull from containers",
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }
 

@@ -4,22 +4,22 @@ Sizes are whole numbers up to the capacity, so a packing is decided on the *hist
 at most ``capacity`` rows whatever the number of items: it is the only thing the driver sees. There,
 Martello and Toth's reduction fixes sets of up to three items that dominate every other set holding their
 largest item; best-fit decreasing places the rest, whole runs of equal sizes and equal gaps at a time.
-The result are intervals ("items number a to b of size s go to bins from n on, m each"), to which the
-items are joined by their number within their size. A size that holds a third of all items is numbered in
-salted parts, and its intervals are spread over blocks of numbers.
+Both look at a size's count only as none, few or many, and handle many at once, so the steps taken and the
+intervals made depend on the number of sizes and not on how many items there are. The result are intervals
+("items number a to b of size s go to bins from n on, m each", some four per size at most), which are
+broadcast and looked up by an item's number within its size. A size that holds a third of all items is
+numbered in salted parts.
 
 Only an item above the capacity is split: it fills bins of its own, and its remainder is an item as
 others. Items of size 0 lie in bin 0 (they need no room). Defined results: a null or empty text has size
 0; a null id is an item as others; an empty table gives no rows; every item is placed.
 """
 
-from __future__ import annotations
-
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -27,23 +27,24 @@ from tessera.llm.bpe import TOKENIZERS, vocabulary
 from tessera.session import cut
 
 SALTS = 256
-BLOCK = 4096
+#: Copies of a size that a set fixed many times at once leaves, so that every copy fixed had the same alternatives.
+SPARE = 4
 PYTHON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 Interval = tuple[int, int, int, int, int]
 
 
 def token_count(text: Column, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> Column:
-    """Tokens of the public tokenizer; 0 for null and empty."""
+    """Tokens of the public tokenizer; 0 for null and empty. The vocabulary (1 MB) travels with the tasks."""
+    ranks = SparkSession.active().sparkContext.broadcast(vocabulary(path))
 
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        e = tiktoken.Encoding("own", pat_str=PYTHON_PATTERN, mergeable_ranks=vocabulary(path), special_tokens={})
+        e = tiktoken.Encoding("own", pat_str=PYTHON_PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         for s in parts:
             yield s.map(lambda x: len(e.encode_ordinary(x)) if x else 0)
 
-    count.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(count, "int")(text)
 
 
@@ -54,7 +55,8 @@ class Plan:
         self.capacity, self.left = capacity, {s: n for s, n in sizes.items() if s > 0 and n > 0}
         self.order = sorted(self.left)
         self.taken: dict[int, int] = {}
-        self.bins, self.intervals = 0, []
+        self.last: dict[int, int] = {}
+        self.bins, self.steps, self.intervals = 0, 0, []
         self.fixed = self._reduce()
         self._fit()
         if sizes.get(0):
@@ -64,7 +66,12 @@ class Plan:
     def _take(self, size: int, each: int, base: int, bins: int) -> None:
         start = self.taken.get(size, 0)
         self.taken[size] = start + each * bins
-        self.intervals.append((size, start, start + each * bins, base, each))
+        before = self.intervals[self.last[size]] if size in self.last else None
+        if before and before[4] == each and before[3] + (before[2] - before[1]) // each == base:
+            self.intervals[self.last[size]] = (size, before[1], start + each * bins, before[3], each)
+        else:
+            self.last[size] = len(self.intervals)
+            self.intervals.append((size, start, start + each * bins, base, each))
         self.left[size] -= each * bins
         if not self.left[size]:
             del self.left[size]
@@ -132,7 +139,9 @@ class Plan:
             if len(before) >= 2:
                 break
         if between <= 1 or w + sum(before[:2]) > self.capacity:
-            return [w, a, b], 1 if w in (a, b) else max(1, min(n, self.left[a] - 2, self.left[b]))
+            if w in (a, b):
+                return [w, a, b], max(1, min((self.left[x] - SPARE) // [w, a, b].count(x) for x in {w, a, b}))
+            return [w, a, b], max(1, min(n, self.left[a] - 2, self.left[b]))
         return None
 
     def _reduce(self) -> int:
@@ -140,6 +149,7 @@ class Plan:
         while i >= 0:
             w = self.order[i]
             while w in self.left and (found := self._dominant(w)):
+                self.steps += 1
                 self._open(*found)
             i = bisect_left(self.order, w) - 1
         return self.bins
@@ -158,6 +168,7 @@ class Plan:
 
         for s in sorted(self.left, reverse=True):
             while (count := self.left.get(s, 0)) > 0:
+                self.steps += 1
                 i = bisect_left(gaps, s)
                 if i < len(gaps):
                     gap = gaps[i]
@@ -207,8 +218,10 @@ def pack(items: DataFrame, containers: DataFrame) -> DataFrame:
         histogram.setdefault(r[0], {})[r[1]] = r[2]
     for i, c in kinds:
         intervals += [(i, *x) for x in Plan(histogram.get(i, {}), c).intervals]
-    plan = spark.createDataFrame(pd.DataFrame(intervals, columns=["container_id", "size", "low", "high", "base", "each"]).astype({"container_id": "int32"}) if intervals else [], "container_id int, size bigint, low bigint, high bigint, base bigint, each bigint")
-    blocks = plan.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor((F.col("high") - 1) / BLOCK))))
+    names = "container_id int, size bigint, low bigint, high bigint, base bigint, each bigint"
+    plan = spark.createDataFrame(pd.DataFrame(intervals, columns=[c.split()[0] for c in names.split(", ")]).astype({"container_id": "int32"}) if intervals else [], names)
+    # Bounded by the number of sizes: the join sends no item anywhere, however many have one size.
+    places = F.broadcast(plan.groupBy("container_id", "size").agg(F.array_sort(F.collect_list(F.struct("low", "high", "base", "each"))).alias("places")))
 
     line = W.partitionBy("container_id", "size", "salt")
     offsets = counted.withColumn("offset", F.sum("n").over(W.partitionBy("container_id", "size").orderBy("salt")) - F.col("n")).drop("n")
@@ -216,12 +229,12 @@ def pack(items: DataFrame, containers: DataFrame) -> DataFrame:
         parts.withColumn("number", F.row_number().over(line.orderBy("item")) - 1)
         .join(offsets, ["container_id", "size", "salt"])
         .withColumn("number", F.col("number") + F.col("offset"))
-        .withColumn("block", F.floor(F.col("number") / BLOCK))
     )
+    bin_ = F.concat(F.lit("b"), (F.col("p.base") + F.floor((F.col("number") - F.col("p.low")) / F.col("p.each"))).cast("string"))
     placed = (
-        numbered.join(blocks, ["container_id", "size", "block"])
-        .where("number >= low and number < high")
-        .select("container_id", F.concat(F.lit("b"), (F.col("base") + F.floor((F.col("number") - F.col("low")) / F.col("each"))).cast("string")).alias("bin"), "item", F.col("full").cast("long").alias("part"), "size")
+        numbered.join(places, ["container_id", "size"])
+        .withColumn("p", F.explode(F.filter("places", lambda x: (F.col("number") >= x["low"]) & (F.col("number") < x["high"]))))
+        .select("container_id", bin_.alias("bin"), "item", F.col("full").cast("long").alias("part"), "size")
     )
     alone = rest.where("full > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).select(
         "container_id", F.concat_ws("/", F.coalesce(F.col("item").cast("string"), F.lit("null")), F.col("part").cast("string")).alias("bin"), "item", F.col("part").cast("long").alias("part"), F.col("capacity").alias("size")
@@ -229,6 +242,18 @@ def pack(items: DataFrame, containers: DataFrame) -> DataFrame:
     return placed.unionByName(alone)
 
 
+def invariants(packed: DataFrame, items: DataFrame, containers: DataFrame) -> DataFrame:
+    """Per container: items placed, items whose parts do not add up to their size once, bins above the capacity, and
+    items split although they fit. The last three must be 0. Items are told apart by ``item``."""
+    whole = items.groupBy("item").agg(F.sum(F.coalesce(F.col("size").cast("long"), F.lit(0))).alias("whole"))
+    parts = packed.groupBy("container_id", "item").agg(F.sum("size").alias("size"), F.count("*").alias("parts"))
+    told = parts.join(whole, parts["item"].eqNullSafe(whole["item"])).join(F.broadcast(containers), "container_id")
+    per_item = told.groupBy("container_id").agg(F.count("*").alias("items"), F.count_if(F.col("size") != F.col("whole")).alias("unequal"), F.count_if((F.col("parts") > 1) & (F.col("whole") <= F.col("capacity"))).alias("split"))
+    used = packed.groupBy("container_id", "bin").agg(F.sum("size").alias("used")).join(F.broadcast(containers), "container_id")
+    over = used.groupBy("container_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    return per_item.join(over, "container_id").select("container_id", "items", "unequal", "split", "overfull")
+
+
 def summary(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container: bins, tokens, and the share of the bins' room that is used."""
     bins = packed.groupBy("container_id", "bin").agg(F.sum("size").alias("used"))

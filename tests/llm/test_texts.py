@@ -141,6 +141,20 @@ def test_packing_plans():
     assert placed([6, 4, 6, 4, 10], 10).bins == 3 and placed([0, 0], 10).bins == 1 and placed([], 10).bins == 0
 
 
+def test_packing_work_does_not_grow_with_items():
+    rng = random.Random(5)
+    for shares, cap in [({34: 1, 32: 1}, 100), ({51: 2, 49: 1, 33: 3}, 100), ({rng.randrange(1, 300): rng.randrange(1, 9) for _ in range(120)}, 300), ({s: 1 for s in range(20, 60)}, 100)]:
+        plans = [packing.Plan({s: k * n for s, k in shares.items()}, cap) for n in (1000, 10**6, 10**9)]
+        assert max(p.steps for p in plans) <= 12 * len(shares) + 40 and max(len(p.intervals) for p in plans) <= 6 * len(shares) + 10
+        for p, n in zip(plans, (1000, 10**6, 10**9)):
+            assert sum(h - low for _, low, h, *_ in p.intervals) == n * sum(shares.values()) and p.bins >= -(-n * sum(s * k for s, k in shares.items()) // cap)
+        used = Counter()
+        for size, low, high, base, each in plans[0].intervals:
+            for i in range(low, high):
+                used[base + (i - low) // each] += size
+        assert max(used.values()) <= cap
+
+
 def test_pack_frames(spark):
     rows = [(i, s, "x") for i, s in enumerate([7] * 300 + [3] * 300 + [0, None, 25, 30, 5])] + [(9, 7, "x")]
     items = spark.createDataFrame(rows, "item long, size int, salt string")
@@ -152,6 +166,9 @@ def test_pack_frames(spark):
     assert max(used.values()) <= 10 and sum(used.values()) == sum(s or 0 for _, s, _ in rows)
     assert {r.part for r in out if r.item == 602} == {0, 1, 2} and Counter(r.item for r in out)[9] == 2
     assert packing.pack(items.limit(0), boxes).count() == 0
+    unique = items.where("item <> 9")
+    told = packing.invariants(packing.pack(unique, boxes), unique, boxes).collect()
+    assert [tuple(r) for r in told] == [(1, 604, 0, 0, 0)]
 
 
 def test_abuse_held_out():
