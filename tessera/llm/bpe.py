@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 NONE = 2147483647
 BUCKETS = 1 << 14
+#: Half a stretch of a long word: a multiple of the bytes of a character in any script and of short even periods.
+STRIDE = 96
 
 #: White space as the tokenizer's own engine has it; Java's \s is ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -76,11 +78,13 @@ def as_bytes(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def encode_word(raw: Column, table: Column) -> Column:
-    """Ids of a word given by its bytes (:func:`as_bytes`)."""
+def _rank(piece: Column, table: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece), F.lit(NONE))
+
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(table, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece), F.lit(NONE))
+def _fold(raw: Column, table: Column) -> Column:
+    """Pieces of a stretch of bytes: as many steps as bytes, each merging the leftmost pair of least rank."""
+    nothing = F.array().cast("array<int>")
 
     def merge(acc: Column) -> Column:
         def at(k: Column) -> Column:
@@ -90,8 +94,8 @@ def encode_word(raw: Column, table: Column) -> Column:
                     F.concat(F.slice(acc["p"], F.lit(1), k - 1), F.array(new), F.slice(acc["p"], k + 2, F.size(acc["p"]))).alias("p"),
                     F.concat(
                         F.slice(acc["r"], F.lit(1), F.greatest(k - 2, F.lit(0))),
-                        F.when(k > 1, F.array(rank(F.concat(F.element_at(acc["p"], F.greatest(k - 1, F.lit(1))), new)))).otherwise(F.array().cast("array<int>")),
-                        F.when(k + 1 < F.size(acc["p"]), F.array(rank(F.concat(new, F.get(acc["p"], k + 1))))).otherwise(F.array().cast("array<int>")),
+                        F.when(k > 1, F.array(_rank(F.concat(F.element_at(acc["p"], F.greatest(k - 1, F.lit(1))), new), table))).otherwise(nothing),
+                        F.when(k + 1 < F.size(acc["p"]), F.array(_rank(F.concat(new, F.get(acc["p"], k + 1)), table))).otherwise(nothing),
                         F.slice(acc["r"], k + 2, F.size(acc["p"])),
                     ).alias("r"),
                 ),
@@ -101,22 +105,54 @@ def encode_word(raw: Column, table: Column) -> Column:
 
     n = F.length(raw)
     pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(raw, i, F.lit(1)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: rank(F.substr(raw, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(pieces.alias("p"), pairs.alias("r"))
-    steps = F.sequence(F.lit(1), n)
-    folded = F.aggregate(steps, start, lambda acc, _: merge(acc), lambda acc: F.transform(acc["p"], rank))
-    return F.when(n > 0, let(rank(raw), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(folded)))
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: _rank(F.substr(raw, i, F.lit(2)), table))).otherwise(nothing)
+    return F.aggregate(F.sequence(F.lit(1), n), F.struct(pieces.alias("p"), pairs.alias("r")), lambda acc, _: merge(acc), lambda acc: acc["p"])
+
+
+def _placed(pieces: Column, base: Column) -> Column:
+    """Pieces with the place each begins at."""
+    start = F.struct(base.cast("int").alias("at"), F.array().cast("array<struct<at:int,piece:string>>").alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("piece")))).alias("out"))
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def encode_word(raw: Column, table: Column) -> Column:
+    """Ids of a word given by its bytes (a variable that holds :func:`as_bytes`).
+
+    A fold copies its arrays at every merge, so a long word is folded in stretches, each half over the next. A row of
+    pieces is the right one if and only if every two neighbours are the encoding of their own bytes: until a merge
+    crosses some border for the first time, two neighbours are merged in the order they would be alone. Two stretches
+    that share a piece at one place can therefore be joined in it, for all neighbours then stand in one right row. Where
+    two stretches share none (pieces longer than a stretch, odd periods) the word is folded whole.
+    """
+    n = F.length(raw)
+
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(n / STRIDE).cast("int") - 2, F.lit(0)))
+    # Bound to a variable, a stretch is cut out once and not once a byte.
+    rows = F.transform(numbers, lambda k: _placed(let(F.substr(raw, k * STRIDE + 1, F.lit(2 * STRIDE)), lambda part: _fold(part, table)), k * STRIDE))
+
+    def joined(t: Column) -> Column:
+        shared = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda k: F.array_min(F.array_intersect(F.get(t, k), F.get(t, k + 1)))["at"])
+        inside = lambda c: F.flatten(F.transform(t, lambda x, k: F.filter(x, lambda y: (y["at"] > F.coalesce(F.get(c, k - 1), F.lit(-1))) & (y["at"] <= F.coalesce(F.get(c, k), n)))))
+        return let(shared, lambda c: F.when(~F.exists(c, lambda x: x.isNull()), inside(c)))
+
+    pieces = F.coalesce(let(rows, lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(joined(t))), _placed(_fold(raw, table), F.lit(0)))
+    return F.when(n > 0, let(_rank(raw, table), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(F.transform(pieces, lambda x: _rank(x["piece"], table)))))
 
 
 def dictionary(text: DataFrame, path: str) -> DataFrame:
     """``word, ids`` of every distinct word of a table ``text``."""
     distinct = text.select(F.explode(words(F.col("text"))).alias("word")).distinct()
     # The literal stands once in the plan; the fold refers to it by a variable.
-    return distinct.select("word", let(rank_map(path), lambda table: encode_word(as_bytes(F.col("word")), table)).alias("ids"))
+    return distinct.select("word", let(rank_map(path), lambda table: let(as_bytes(F.col("word")), lambda raw: encode_word(raw, table))).alias("ids"))
 
 
 def encode(docs: DataFrame, key: str, text: str, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """``key, ids``: one row per row of ``docs``; ``key`` must be unique (null is a key as others)."""
+    """``key, ids``: one row per row of ``docs``; ``key`` must be unique (null is a key as others).
+
+    A word that stands in very many documents makes one partition of the join large: adaptive execution splits it, so
+    leave its skew join on.
+    """
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     # An empty text must keep its row through the explode: it gets one null word.
     split = F.when(F.length("text") > 0, words(F.col("text")))

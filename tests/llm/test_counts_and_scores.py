@@ -126,6 +126,7 @@ def test_token_ids_equal_the_tokenizer(spark, sf):
     enc = tiktoken.Encoding("own", pat_str=PYTHON_PATTERN, mergeable_ranks=bpe.vocabulary(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken"), special_tokens={})
     rng = random.Random(4)
     texts = [None, "", " ", "\n\n \t x", "don't I'll 'S", "가나다 라마 zażółć 漢字かな交じり文。", "🙂👩‍👩‍👧 é é", " \u00a0 \u3000a\u2028b\x85c", "x" * 3000, "가" * 500, "<|endoftext|>", "1234567 12,3.5", "क्षत्रिय ภาษาไทย"]
+    texts += ["가" * 2000, "abcdefg" * 300, "하하" * 700, " " * 1500 + "x", "!?" * 900, "".join(rng.choice("abcdefgh") for _ in range(2500)), "".join(rng.choice(["xx", "가", "ㅋㅋ", "漢", "the", "ing"]) for _ in range(600))]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xAC00, 0xD7A3), rng.randrange(0x370, 0x3FF), 32, 10])) for _ in range(rng.randrange(60))) for _ in range(40)]
     df = spark.createDataFrame([(i, t, "clash", [1]) for i, t in enumerate(texts)], "doc_id long, text string, word string, ids array<int>")
     got = {r.doc_id: r for r in bpe.encode(df, "doc_id", "text").withColumn("back", bpe.decode(F.col("ids"))).collect()}
@@ -135,6 +136,19 @@ def test_token_ids_equal_the_tokenizer(spark, sf):
     assert bpe.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_words_take_near_linear_time(spark):
+    import time
+
+    rng = random.Random(6)
+    took = {}
+    for n in (10, 20_000, 40_000):
+        df = spark.createDataFrame([(1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)))], "doc_id long, text string")
+        start = time.perf_counter()
+        assert bpe.decode(F.col("ids")) is not None and bpe.encode(df, "doc_id", "text").select(bpe.decode(F.col("ids")).alias("t")).collect()[0].t == df.collect()[0].text
+        took[n] = time.perf_counter() - start
+    assert took[40_000] - took[10] < 10
+
+
 def test_queries_run(spark, sf):
     for name in ("p1_found", "p3_found", "p6_found"):
         assert catalog.QUERIES[name](spark, sf).count() > 0
