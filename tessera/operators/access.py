@@ -34,6 +34,14 @@ def users(profiles: DataFrame, prefix: str = "u_") -> DataFrame:
     return profiles.where("employee_no is not null").groupBy("employee_no").agg(*[F.min(f).alias(prefix + f) for f in fields])
 
 
+def hidden(shown: DataFrame, chunks: DataFrame, people: DataFrame, today: str) -> DataFrame:
+    """Rows of ``shown`` (id, employee_no, chunk_id) whose chunk the user may not see, or that is no chunk any more: the check
+    before something is given out, made again on the chunks themselves."""
+    attributes = chunks.select("chunk_id", "acl_groups", "audience", "valid_until", "effective_from", "published_at", "sensitivity")
+    may = shown.join(people, "employee_no").join(attributes, "chunk_id").where(decision(today) == "allow").select("id", "chunk_id")
+    return shown.join(may, ["id", "chunk_id"], "left_anti")
+
+
 def scope(groups: Column) -> Column:
     """common, department or role: the widest class a document's groups give."""
     return F.when(F.array_contains(groups, "all_employees"), "common").when(F.exists(groups, lambda g: g.startswith("dept:")), "department").otherwise("role")

@@ -21,6 +21,9 @@ FAQ_SECTION = "자주 묻는 질문"
 # Notices and what is said without evidence.
 NO_EVIDENCE = "확인 가능한 문서 근거가 충분하지 않습니다."
 NO_EVIDENCE_CONTACT = "인사팀 홍길동 대리(hr-demo@example.com)에게 확인해 주세요. 본 연락처는 해커톤 데모용 가상 정보입니다."
+SENSITIVE_ANSWER = "입력하신 내용에 민감정보로 보이는 값이 포함되어 있어 처리하지 않았습니다. 이 챗봇에는 주민등록번호·계좌번호·비밀번호를 입력하지 마세요. 질문에서 해당 값을 빼고 다시 물어봐 주세요."
+THIRD_PARTY_ANSWER = "타인의 개인정보나 건강 정보는 확인해 드릴 수 없습니다. 관련 문의는 인사팀에 확인해 주세요."
+REFUSALS = {"E_AUTH": "사용자를 확인할 수 없습니다.", "E_INPUT_INVALID": "질문을 입력해 주세요.", "E_INPUT_TOO_LONG": "질문은 500자 이내로 입력해 주세요.", "E_SENSITIVE_BLOCKED": SENSITIVE_ANSWER}
 DEMO_NOTICE = "이 안내는 해커톤 데모용 가정에 기반합니다. 실제 회사 정책이 아닙니다."
 CONFLICT_NOTICE = "참고 문서 간 안내가 서로 다릅니다. 정확한 확인이 필요합니다."
 STATUTORY_NOTICE = "은(는) 법령이 최소 기준을 정하는 항목입니다. 사내 규정이 법정 기준보다 불리한 부분은 효력이 없으므로, 실제 적용 기준은 인사팀에 확인해 주세요."
@@ -33,12 +36,6 @@ SCHEMA = (
 )
 
 
-def without_branches(body: Column, terms: Column) -> Column:
-    """A text without the blocks (between blank lines) that hold one of ``terms``."""
-    blocks = F.split(body, r"\n\s*\n")
-    return F.array_join(F.filter(blocks, lambda b: ~F.exists(terms, lambda t: F.contains(b, t))), "\n\n")
-
-
 def prepared(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """One row of each question: its signals and its candidates with everything the fold looks at.
 
@@ -154,6 +151,13 @@ def without_evidence(queries: DataFrame) -> DataFrame:
     return queries.select("id", F.lit(NO_EVIDENCE).alias("summary"), none.alias("actions"), F.array().cast(CITATIONS).alias("citations"), none.alias("cautions"), F.array(F.lit(NO_EVIDENCE_CONTACT)).alias("notices"), F.lit(False).alias("answered"))
 
 
+def refused(queries: DataFrame) -> DataFrame:
+    """What refused questions ``id, refusal, third_party`` are told."""
+    none = F.array().cast("array<string>")
+    said = F.coalesce(F.when((F.col("refusal") == "E_SENSITIVE_BLOCKED") & F.col("third_party"), THIRD_PARTY_ANSWER), *[F.when(F.col("refusal") == code, words) for code, words in REFUSALS.items()])
+    return queries.select("id", said.alias("summary"), none.alias("actions"), F.array().cast(CITATIONS).alias("citations"), none.alias("cautions"), F.array(F.lit(NO_EVIDENCE_CONTACT)).alias("notices"), F.lit(False).alias("answered"))
+
+
 def unsupported(answers: DataFrame, rows: DataFrame) -> DataFrame:
     """``id, sentence`` of every shown sentence that no candidate of the question contains: must be empty."""
     said = answers.where("answered").select("id", F.explode(F.concat("actions", "cautions", F.array("summary"))).alias("sentence")).where("sentence <> ''")

@@ -12,6 +12,12 @@ from tessera.operators import retrieval
 REQUIRED = ["doc_id", "title", "version", "category", "subcategory", "owner_dept", "approver", "sensitivity", "audience", "acl_groups", "published_at", "valid_until", "status"]
 SENSITIVITY = ["public", "internal", "restricted"]
 STATUS = ["draft", "review", "published", "expired"]
+DOC_TYPES = ["안내문", "규정"]
+AUTHORITIES = ["안내문", "부서지침", "사규", "취업규칙"]
+ARTICLE, CLAUSES = r"제\s*\d+\s*조", "[①-⑳]"
+DEMO_PHRASE, FAQ_TITLE = "데모용 가정", "자주 묻는 질문"
+#: Problems that do not keep a document out.
+WARNINGS = ["file name without doc_id", "regulation without effective_from", "articles without clauses", "no section heading", "no FAQ section"]
 ALPHAS = [0.2, 0.3, 0.4, 0.5, 0.6]
 # Question types that must be answered, and those the scores must block.
 ANSWERED = ["normal", "personalized", "regulation"]
@@ -74,22 +80,35 @@ def sweep(pool: DataFrame, golden: DataFrame, unknown: DataFrame, pairs: DataFra
 
 
 def lint(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, problem``: every problem of every document row, all at once."""
-    say = lambda cond, message: F.when(F.coalesce(cond, F.lit(True)), message)
-    day = r"^\d{4}-\d{2}-\d{2}$"
+    """``doc_id, version, problem``: every problem of every document row, all at once, each once for an id and version.
+
+    Dates are checked where there are any; a null doc_type or authority_level is the plainest one, a missing
+    effective_from is published_at; only rows with ``source_path`` have a file name to check.
+    """
+    col = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    unless = lambda cond, message: F.when(~F.coalesce(cond, F.lit(False)), message)
+    day = lambda c: F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
     empty = lambda c: F.col(c).isNull() | ((F.size(c) == 0) if c in ("audience", "acl_groups") else (F.trim(c) == ""))
+    body, published, until = F.coalesce("body", F.lit("")), F.col("published_at"), F.col("valid_until")
+    starts = F.coalesce(F.nullif(col("effective_from"), F.lit("")), published)
+    kind, authority = F.coalesce(col("doc_type"), F.lit(DOC_TYPES[0])), F.coalesce(col("authority_level"), F.lit(AUTHORITIES[0]))
+    regulation = kind == "규정"
     checks = [F.when(empty(c), f"missing {c}") for c in REQUIRED]
     checks += [
-        say(~F.col("doc_id").rlike(r"^[A-Z]{2,4}-\d{3}$"), "bad doc_id"), say(~F.col("version").rlike(r"^\d+\.\d+$"), "bad version"), say(~F.col("sensitivity").isin(*SENSITIVITY), "bad sensitivity"), say(~F.col("status").isin(*STATUS), "bad status"),
-        F.when(~F.col("published_at").rlike(day), "bad published_at"), F.when(~F.col("valid_until").rlike(day), "bad valid_until"),
-        F.when(F.col("published_at").rlike(day) & F.col("valid_until").rlike(day) & (F.col("published_at") > F.col("valid_until")), "dates out of order"),
-        F.when((F.col("doc_type") == "규정") & ~F.coalesce(F.col("body").contains("①"), F.lit(False)), "regulation without clauses"),
-        F.when(~F.coalesce(F.col("body").rlike(r"(?m)^#{1,4}\s"), F.lit(False)), "no heading"),
-        F.when(F.col("demo_assumption") & ~F.coalesce(F.substring("body", 1, 1500).contains("데모"), F.lit(False)), "no demo notice"),
-        F.when(F.col("copies") > 1, "delivered more than once"),
+        unless(F.col("doc_id").rlike(r"^[A-Z]{2,4}-\d{3}$"), "bad doc_id"), unless(F.col("version").rlike(r"^\d+\.\d+$"), "bad version"),
+        unless(F.col("sensitivity").isin(*SENSITIVITY), "bad sensitivity"), unless(F.col("status").isin(*STATUS), "bad status"),
+        *[F.when((c != "") & ~day(c), f"bad {name}") for c, name in ((published, "published_at"), (until, "valid_until"), (starts, "effective_from"))],
+        F.when(day(published) & day(until) & (until <= published), "dates out of order"), F.when(day(starts) & day(until) & (starts > until), "never in force"),
+        unless(kind.isin(*DOC_TYPES), "bad doc_type"), unless(authority.isin(*AUTHORITIES), "bad authority_level"),
+        F.when(regulation & (authority == AUTHORITIES[0]), "regulation without authority"), F.when(regulation & (F.coalesce(col("effective_from"), F.lit("")) == ""), "regulation without effective_from"),
+        F.when(regulation & body.rlike(ARTICLE) & ~body.rlike(CLAUSES), "articles without clauses"),
+        F.when(F.col("demo_assumption") & ~F.substring(body, 1, 1500).contains(DEMO_PHRASE), "no demo notice"),
+        F.when(~body.rlike(r"(?m)^#{2,4}\s+"), "no section heading"), F.when(~body.contains(FAQ_TITLE), "no FAQ section"),
+        F.when(~F.substring_index(col("source_path"), "/", -1).startswith(F.col("doc_id")), "file name without doc_id"),
     ]
-    counted = docs.withColumn("copies", F.count("*").over(W.partitionBy("doc_id", "version"))).dropDuplicates(["doc_id", "version"] + [c for c in ("body", "published_at", "valid_until", "sensitivity") if c in docs.columns])
-    return counted.select("doc_id", "version", F.explode(F.array_compact(F.array(*checks))).alias("problem")).distinct()
+    found = docs.select("doc_id", "version", F.explode(F.array_compact(F.array(*checks))).alias("problem")).distinct()
+    again = docs.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version", F.lit("delivered more than once").alias("problem"))
+    return found.unionByName(again)
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, attributes: list[str]) -> DataFrame:

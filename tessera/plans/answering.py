@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import answers, chunking, conflict, faq, retrieval
+from tessera.operators import access, answers, chunking, conflict, faq, retrieval
 from tessera.plans import search, sql
 from tessera.plans.search import documents
 from tessera.session import cut
@@ -84,13 +84,32 @@ def o92_resolved(spark: SparkSession, root: str) -> DataFrame:
     return _resolved(spark, root, index, selected).select("id", "rank", "chunk_id", "unresolved")
 
 
-def _answers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Answers of all questions, and the prepared rows of those with evidence."""
-    e = search.gated(spark, root)
+def _answered(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers of all questions, the prepared rows of those with evidence, and an outcome code of each.
+
+    In this order: the guard refuses, the search finds, the gate asks for evidence, conflicts are resolved, the answer is
+    put together; it is given out only if its user may see every chunk it is made of and every sentence stands in one.
+    """
+    sent = cut(search.guarded(search.requests(spark, root), search.people(spark, root)), "sent")
+    e = search.gated(spark, root, sent.where("refusal is null").select("id", "employee_no", "qtext"))
     kept = _resolved(spark, root, e.index, e.selected.join(e.gates.where("sufficient").select("id"), "id", "left_semi"))
     pair = F.struct("chunk_id", text.clean(F.col("answer")).alias("answer"), text.clean(F.concat("question", F.lit("\n"), "answer")).alias("both"))
     rows = cut(answers.prepared(kept, e.asks.join(e.pairs.select("id", F.array(pair).alias("faq")), "id", "left")), "prepared")
-    return cut(answers.build(rows).unionByName(answers.without_evidence(e.asks.join(rows.select("id"), "id", "left_anti"))), "answers"), rows
+    drafts = cut(answers.build(rows), "drafts")
+    told = rows.select("id", F.explode("c.chunk_id").alias("chunk_id"))
+    hidden = access.hidden(told.join(e.asks.select("id", "employee_no"), "id"), e.index.chunks, search.people(spark, root), search.TODAY)
+    withheld = hidden.select("id").union(answers.unsupported(drafts, rows).select("id")).distinct()
+    given = drafts.join(withheld, "id", "left_anti")
+    rest = sent.join(given.select("id"), "id", "left_anti")
+    out = given.unionByName(answers.without_evidence(rest.where("refusal is null"))).unionByName(answers.refused(rest.where("refusal is not null")))
+    code = F.coalesce("refusal", F.when(F.col("answered"), "OK").otherwise("E_NO_EVIDENCE"))
+    out = cut(out, "answers")
+    return out, rows, sent.join(out.select("id", "answered"), "id").select("id", "answered", code.alias("code"))
+
+
+def _answers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Answers and prepared rows only."""
+    return _answered(spark, root)[:2]
 
 
 def o103_answers(spark: SparkSession, root: str) -> DataFrame:
@@ -105,6 +124,11 @@ def o113_unsupported(spark: SparkSession, root: str) -> DataFrame:
     return answers.unsupported(*_answers(spark, root))
 
 
+def o115_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """What becomes of every question: answered or not, and its code."""
+    return _answered(spark, root)[2].select("id", F.col("answered").alias("ok"), "code")
+
+
 def o130_rendered(spark: SparkSession, root: str) -> DataFrame:
     return answers.rendered(_answers(spark, root)[0])
 
@@ -152,6 +176,17 @@ u as (select chunk_id, unnest(r) as x, generate_subscripts(r, 1) - 1 as pos from
     "o89_unsafe": f"with {_MSG} select request_id, coalesce({' or '.join(_rx('message', p) for _, p in _BLOCKS)} or ({_rx('message', text.HEALTH)} and not {_rx('message', text.INSTITUTION)}), false) as unsafe from m",
     "o113_unsupported": "select '' as id, '' as sentence where false",
 }
+_GUARD = _SCAN.replace(_MSG, "m as (select id, min(user_id) as employee_no, min(query) as message from golden_set where id is not null group by id)").rsplit("\nselect request_id", 1)[0].replace("from m where message is not null", "from m")
+_STRIPPED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(m2, ''), '(?is)<\\s*script\\b[^>]*>.*?<\\s*/\\s*script\\s*>|<\\s*style\\b[^>]*>.*?<\\s*/\\s*style\\s*>', ' ', 'g'), '(?is)<\\s*(script|style)\\b[^>]*>.*', ' ', 'g'), '<[^>]{0,200}>', ' ', 'g'), '\\s+', ' ', 'g'))"
+#: The requests with their refusal, and the search and its gate over those without one.
+GUARDED = f"""{_GUARD.removeprefix('with ')}, gd as (select z.*, {_STRIPPED} as eff from z),
+sent as (select gd.*, case when u.employee_no is null then 'E_AUTH' when coalesce(trim(message), '') = '' then 'E_INPUT_INVALID' when length(message) > {search.LONGEST} then 'E_INPUT_TOO_LONG'
+  when blocked is not null or (third and health) then 'E_SENSITIVE_BLOCKED' when eff = '' then 'E_INPUT_INVALID' end as refusal from gd left join (select distinct employee_no from user_profiles where employee_no is not null) u using (employee_no))"""
+_FOUND = sql.search_ctes(search.TODAY, f"select id, employee_no, {sql.normal('eff')} as qtext from sent where refusal is null")
+SQL["o115_outcomes"] = f"""with {GUARDED}, {_FOUND}, {sql.unknown_ctes()},
+bs as (select id, max(cosine) as c1, max(hybrid) filter (rank = 1) as h1, count(*) as n from sel group by id),
+gt as (select a.id, coalesce(n >= 1 and round(h1, 4) >= 0.5 and round(greatest(c1, 0.0), 4) >= 0.229 and unknown is null, false) as enough from asks a left join bs using (id) left join unk using (qtext))
+select id, coalesce(enough, false) as ok, coalesce(refusal, case when enough then 'OK' else 'E_NO_EVIDENCE' end) as code from sent left join gt using (id)"""
 _PARTS = ", ".join(f"'{k}', {v}" for k, v in conflict.AUTHORITY.items())
 SQL["o92_resolved"] = f"""with {sql.search_ctes(search.TODAY)}, {_LATEST_DOCS},
 vk as (select *, case when list_has_any(list_transform(string_split(version, '.'), lambda x: try_cast(x as int) is null), [true]) then [0] else list_transform(string_split(version, '.'), lambda x: try_cast(x as int)) end as vk from kd),

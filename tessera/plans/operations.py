@@ -34,9 +34,8 @@ def o118_rate_limit(spark: SparkSession, root: str) -> DataFrame:
 
 def o120_outcomes(spark: SparkSession, root: str) -> DataFrame:
     """Outcome codes per user, fingerprints instead of texts."""
-    t = _turns(spark, root)
-    code = F.when(F.coalesce(F.trim("message"), F.lit("")) == "", "E_INPUT_EMPTY").when(F.length("message") > 500, "E_INPUT_TOO_LONG").when(text.scan(F.col("message"))["action"].isin("block", "third_party"), "E_SENSITIVE_BLOCKED").otherwise("OK")
-    return t.groupBy("employee_no", code.alias("code")).agg(F.count("*").alias("requests"))
+    t = _turns(spark, root).select(F.col("request_id").alias("id"), "employee_no", "message")
+    return search.guarded(t, search.people(spark, root)).groupBy("employee_no", F.coalesce("refusal", F.lit("OK")).alias("code")).agg(F.count("*").alias("requests"))
 
 
 def o121_retained(spark: SparkSession, root: str) -> DataFrame:
@@ -73,7 +72,7 @@ def _golden(spark: SparkSession, root: str) -> DataFrame:
 
 def o131_assertions(spark: SparkSession, root: str) -> DataFrame:
     """Phrases rendered answers lack or must not hold, and behaviour other than expected."""
-    told, _ = answering._answers(spark, root)
+    told = answering._answers(spark, root)[0]
     found = quality.assertions(_golden(spark, root), answers.rendered(told), told.select("id", "answered", "citations"))
     return found.select("id", F.array_join("missing", "\n").alias("missing"), F.array_join("forbidden", "\n").alias("forbidden"), F.coalesce("behaviour", F.lit("")).alias("behaviour"))
 
@@ -108,6 +107,8 @@ _BLOCKED = "(" + " or ".join(answering._rx("message", p) for p in text.BLOCK.val
 _REQUIRED = " union all ".join(f"select doc_id, version, 'missing {c}' as problem from knowledge_docs where {c} is null or {'len(' + c + ') = 0' if c in ('audience', 'acl_groups') else 'trim(' + c + ') = chr(0)[1:0]'}" for c in quality.REQUIRED)
 _DAY = r"^\d{4}-\d{2}-\d{2}$"
 
+_M = "m as (select request_id as id, employee_no, message from t), x as"
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "o" and k[1].isdigit()}
 SQL = {
     "o117_rewritten": f"""with {_TURNS}, f as (select *, coalesce(trim(message) <> '' and not {_BLOCKED}, false) as ok from t),
@@ -115,37 +116,54 @@ l as (select *, case when session_id is not null then last_value(case when ok th
 x as (select *, case when last is not null and (length(trim(message)) < {sessions.SHORT} or {' or '.join(f"starts_with(trim(message), '{s}')" for s in sessions.STARTERS)} or regexp_matches(trim(message), '{sessions.NOUNLESS}')) then {sql.content_terms(sql.normal('last'))} end as ct from l),
 d as (select *, list_filter(ct, lambda s, i: list_position(ct, s) = i) as u from x)
 select request_id, case when len(u) > 0 then array_to_string(u[1:3], ' ') || ' ' || trim(message) else message end as search_text from d""",
-    "o120_outcomes": f"with {_TURNS} select employee_no, case when coalesce(trim(message), '') = '' then 'E_INPUT_EMPTY' when length(message) > 500 then 'E_INPUT_TOO_LONG' when {_BLOCKED} then 'E_SENSITIVE_BLOCKED' else 'OK' end as code, count(*) as requests from t group by all",
+    "o120_outcomes": f"with {_TURNS}, {answering.GUARDED.split(', x as', 1)[1].join([_M, ''])} select employee_no, coalesce(refusal, 'OK') as code, count(*) as requests from sent group by all",
     "o121_retained": "select distinct save_id, kind from save_requests where case kind when 'checklist' then date_diff('day', requested_at::date, date '2026-06-30') <= 90 when 'saved_answers' then date_diff('day', requested_at::date, date '2026-06-30') <= 365 else true end",
     "o122_usage": "select date_trunc('hour', sent_at) as hour, count(*) as requests, count(distinct employee_no) as users, count(*) filter (coalesce(trim(message), '') = '') as empty, quantile_cont(epoch(received_at) - epoch(sent_at), 0.5) as p50, quantile_cont(epoch(received_at) - epoch(sent_at), 0.95) as p95 from chat_requests where sent_at is not null group by 1",
-    "o134_sweep": f"""with {sql.search_ctes(search.TODAY)}, al as (select unnest({quality.ALPHAS}::double[]) as alpha),
+    # From the definition: questions of the seven types that scores decide, not those an unknown subject blocks.
+    "o134_sweep": f"""with {sql.search_ctes(search.TODAY)}, {sql.unknown_ctes()}, al as (select unnest({quality.ALPHAS}::double[]) as alpha),
 ha as (select al.alpha, nr.*, round(al.alpha * bm25_norm + (1 - al.alpha) * greatest(cosine, 0.0), 9) as hyb from nr, al),
 pa as (select *, row_number() over (partition by alpha, id order by hyb desc, chunk_ord) as place from ha),
 na as (select * from (select *, doc_id = first_value(doc_id) over w or hyb >= first_value(hyb) over w * 0.62 as near from pa window w as (partition by alpha, id order by place)) where near),
 ca as (select * from (select *, row_number() over (partition by alpha, id, doc_id order by place) as od from na) where od <= 3),
 sa as (select * from (select *, row_number() over (partition by alpha, id order by place) as rank from ca) where rank <= 5),
-ba as (select alpha, id, max(hyb) filter (rank = 1) as top, list(doc_id) as docs from sa group by all),
-ga as (select id, min(expected_behavior) as eb, any_value(expected_docs) as ed from golden_set where id is not null group by id),
-ja as (select alpha, avg(case when eb <> 'block' and len(ed) > 0 then list_has_any(docs, ed)::int end) as recall, min(case when eb <> 'block' then top end) as la, max(case when eb = 'block' then top end) as gb from ba join ga using (id) group by alpha)
-select alpha, round(recall, 6) as recall, round(la, 6) as least_answerable, round(gb, 6) as greatest_blocked, round(la - gb, 6) as gap, round(case when la - gb > 0 then (la + gb) / 2 else gb + 0.01 end, 6) as threshold from ja""",
-    "o135_lint": f"""with k as (select *, count(*) over (partition by doc_id, version) as copies from knowledge_docs), p as ({_REQUIRED.replace('chr(0)[1:0]', "''")}
+ba as (select alpha, id, round(max(hyb) filter (rank = 1), 4) as top, round(max(greatest(cosine, 0.0)), 4) as cos, list(doc_id) as docs from sa group by all),
+seen as (select id, any_value(qtext) as qtext, bool_or(decision = 'allow') as seen from pool group by id),
+ga as (select id, min(row(query, query_type, expected_docs)) as g from golden_set where id is not null group by id),
+it as (select al.alpha, ga.id, g[2] as kind, g[3] as ed, coalesce(top, 0.0) as top, coalesce(cos, 0.0) as cos, docs from al, ga join seen using (id) left join unk using (qtext) left join ba on ba.id = ga.id and ba.alpha = al.alpha
+  where g[2] in ({sql.quoted(quality.ANSWERED + quality.BLOCKED)}) and (unknown is null or not seen)),
+ja as (select alpha, coalesce(avg(case when kind in ({sql.quoted(quality.ANSWERED)}) and len(ed) > 0 then coalesce(list_has_any(docs, ed), false)::int end), 0) as recall,
+  coalesce(min(top) filter (kind in ({sql.quoted(quality.ANSWERED)})), 0) as la, coalesce(max(top) filter (kind in ({sql.quoted(quality.BLOCKED)})), 0) as gb,
+  coalesce(min(cos) filter (kind in ({sql.quoted(quality.ANSWERED)})), 0) as cla, coalesce(max(cos) filter (kind in ({sql.quoted(quality.BLOCKED)})), 0) as cgb from it group by alpha),
+ka as (select *, round(la - gb, 4) as gap, round(cla - cgb, 4) as cgap from ja)
+select alpha, round(recall, 6) as recall, la as least_answerable, gb as greatest_blocked, gap, round(case when gap > 0 then (la + gb) / 2 else gb + 0.01 end, 3) as threshold,
+  cla as cos_least_answerable, cgb as cos_greatest_blocked, cgap as cos_gap, round(case when cgap > 0 then (cla + cgb) / 2 else cgb + 0.01 end, 3) as cos_threshold,
+  row_number() over (order by round(recall, 3) desc, gap desc, alpha) = 1 as best from ka""",
+    "o135_lint": f"""with k as (select *, coalesce(nullif(effective_from, ''), published_at) as starts, coalesce(doc_type, '안내문') as kind, coalesce(authority_level, '안내문') as auth, coalesce(body, '') as b from knowledge_docs), p as ({_REQUIRED.replace('chr(0)[1:0]', "''")}
 union all select doc_id, version, 'bad doc_id' from k where not coalesce(regexp_matches(doc_id, '^[A-Z]{{2,4}}-\\d{{3}}$'), false)
 union all select doc_id, version, 'bad version' from k where not coalesce(regexp_matches(version, '^\\d+\\.\\d+$'), false)
-union all select doc_id, version, 'bad sensitivity' from k where not coalesce(sensitivity in ({sql.quoted(quality.SENSITIVITY)}), false)
-union all select doc_id, version, 'bad status' from k where not coalesce(status in ({sql.quoted(quality.STATUS)}), false)
-union all select doc_id, version, 'bad published_at' from k where not regexp_matches(published_at, '{_DAY}')
-union all select doc_id, version, 'bad valid_until' from k where not regexp_matches(valid_until, '{_DAY}')
-union all select doc_id, version, 'dates out of order' from k where regexp_matches(published_at, '{_DAY}') and regexp_matches(valid_until, '{_DAY}') and published_at > valid_until
-union all select doc_id, version, 'regulation without clauses' from k where doc_type = '규정' and not coalesce(contains(body, '①'), false)
-union all select doc_id, version, 'no heading' from k where not coalesce(regexp_matches(body, '(?m)^#{{1,4}}\\s'), false)
-union all select doc_id, version, 'no demo notice' from k where demo_assumption and not coalesce(contains(substr(body, 1, 1500), '데모'), false)
-union all select doc_id, version, 'delivered more than once' from k where copies > 1)
+union all select doc_id, version, 'bad sensitivity' from k where not coalesce(sensitivity in ('public', 'internal', 'restricted'), false)
+union all select doc_id, version, 'bad status' from k where not coalesce(status in ('draft', 'review', 'published', 'expired'), false)
+union all select doc_id, version, 'bad published_at' from k where published_at <> '' and not regexp_matches(published_at, '{_DAY}')
+union all select doc_id, version, 'bad valid_until' from k where valid_until <> '' and not regexp_matches(valid_until, '{_DAY}')
+union all select doc_id, version, 'bad effective_from' from k where starts <> '' and not regexp_matches(starts, '{_DAY}')
+union all select doc_id, version, 'dates out of order' from k where regexp_matches(published_at, '{_DAY}') and regexp_matches(valid_until, '{_DAY}') and valid_until <= published_at
+union all select doc_id, version, 'never in force' from k where regexp_matches(starts, '{_DAY}') and regexp_matches(valid_until, '{_DAY}') and starts > valid_until
+union all select doc_id, version, 'bad doc_type' from k where kind not in ('안내문', '규정')
+union all select doc_id, version, 'bad authority_level' from k where auth not in ('안내문', '부서지침', '사규', '취업규칙')
+union all select doc_id, version, 'regulation without authority' from k where kind = '규정' and auth = '안내문'
+union all select doc_id, version, 'regulation without effective_from' from k where kind = '규정' and coalesce(effective_from, '') = ''
+union all select doc_id, version, 'articles without clauses' from k where kind = '규정' and regexp_matches(b, '제\\s*\\d+\\s*조') and not regexp_matches(b, '[①-⑳]')
+union all select doc_id, version, 'no demo notice' from k where demo_assumption and not contains(substr(b, 1, 1500), '데모용 가정')
+union all select doc_id, version, 'no section heading' from k where not regexp_matches(b, '(?m)^#{{2,4}}\\s+')
+union all select doc_id, version, 'no FAQ section' from k where not contains(b, '자주 묻는 질문')
+union all select doc_id, version, 'file name without doc_id' from k where not starts_with(string_split(source_path, '/')[-1], doc_id)
+union all select doc_id, version, 'delivered more than once' from k group by all having count(*) > 1)
 select distinct doc_id, version, problem from p""",
-    "o136_metadata_changes": """with s as (select snapshot_date, doc_id, min(row(version, status, owner_dept, valid_until)) as r from doc_registry where snapshot_date in ('2025-06-01', '2026-01-01') group by all),
-o as (select doc_id, r from s where snapshot_date = '2025-06-01'), n as (select doc_id, r from s where snapshot_date = '2026-01-01'),
-b as (select coalesce(o.doc_id, n.doc_id) as doc_id, o.r as o, n.r as n from o full join n on o.doc_id = n.doc_id),
-u as (select doc_id, 'version' as attribute, o[1] as before, n[1] as after from b union all select doc_id, 'status', o[2], n[2] from b union all select doc_id, 'owner_dept', o[3], n[3] from b union all select doc_id, 'valid_until', o[4], n[4] from b)
-select * from u where before is distinct from after""",
+    "o136_metadata_changes": """with l as (select * from (select *, row_number() over (partition by doc_id, snapshot_date order by coalesce(loaded_at, timestamp '1970-01-01') desc, version desc nulls last, status desc nulls last, owner_dept desc nulls last, valid_until desc nulls last) as k from doc_registry where doc_id is not null and snapshot_date is not null) where k = 1),
+o as (select *, lag(version) over w as v, lag(status) over w as s, lag(owner_dept) over w as d, lag(valid_until) over w as u, lag(snapshot_date) over w is null as new, (select min(snapshot_date) from l) as first from l window w as (partition by doc_id order by snapshot_date)),
+c as (select * from o where not new or snapshot_date > first),
+x as (select doc_id, snapshot_date, 'version' as attribute, v as before, version as after from c union all select doc_id, snapshot_date, 'status', s, status from c union all select doc_id, snapshot_date, 'owner_dept', d, owner_dept from c union all select doc_id, snapshot_date, 'valid_until', u, valid_until from c)
+select * from x where before is distinct from after""",
 }
 SQL["o132_metrics"] = f"""with {sql.search_ctes(search.TODAY)}, gt as ({search.SQL['o75_gate']}),
 dc as (select id, list(doc_id) as docs from sel group by id),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import korean
+from tessera.functions import korean, text
 from tessera.operators import access, faq, retrieval
 from tessera.plans import sql
 from tessera.session import cut
@@ -15,6 +15,8 @@ from tessera.sources.tables import table
 
 #: The day the questions are asked on.
 TODAY = "2026-03-01"
+#: Characters of the longest message that is searched.
+LONGEST = 500
 CHUNK_COLUMNS = ["chunk_id", "chunk_ord", "doc_id", "doc_version", "title", "section_path", "text", "acl_groups", "audience", "sensitivity", "category", "published_at", "valid_until", "demo_assumption", "doc_type", "authority_level", "effective_from", "statutory", "article_ref", "indexed_at"]
 
 
@@ -28,6 +30,25 @@ def asks(spark: SparkSession, root: str) -> DataFrame:
     return g.select("id", "user_id", korean.normalize(F.col("query")).alias("q")).groupBy("id").agg(F.min("user_id").alias("employee_no"), F.min("q").alias("qtext"))
 
 
+def requests(spark: SparkSession, root: str) -> DataFrame:
+    """``id, employee_no, message``: the golden questions as they are sent, one row of each id."""
+    g = table(spark, root, "golden_set", "id", "user_id", "query").where("id is not null")
+    return g.groupBy("id").agg(F.min("user_id").alias("employee_no"), F.min("query").alias("message"))
+
+
+def guarded(sent: DataFrame, known: DataFrame) -> DataFrame:
+    """``sent`` with ``refusal``, the code of what must not be searched (or null), and ``qtext``, the normal form of what is
+    searched: the message with personal values masked and markup taken out. ``known``: employee_no of all users."""
+    m = F.coalesce(F.trim("message"), F.lit(""))
+    looked = sent.join(known.select("employee_no", F.lit(True).alias("known")), "employee_no", "left").withColumn("scan", text.scan(F.col("message")))
+    clean = text.strip_markup(F.coalesce("scan.text", F.lit("")))
+    refusal = (
+        F.when(F.col("known").isNull(), "E_AUTH").when(m == "", "E_INPUT_INVALID").when(F.length("message") > LONGEST, "E_INPUT_TOO_LONG")
+        .when(F.col("scan.action").isin("block", "third_party"), "E_SENSITIVE_BLOCKED").when(clean == "", "E_INPUT_INVALID")
+    )
+    return looked.select("id", "employee_no", "message", refusal.alias("refusal"), (F.col("scan.action") == "third_party").alias("third_party"), korean.normalize(clean).alias("qtext"))
+
+
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """knowledge_docs, one row of each document and version: the delivery ingested last."""
     d = table(spark, root, "knowledge_docs").where("doc_id is not null and version is not null")
@@ -40,9 +61,9 @@ def people(spark: SparkSession, root: str) -> DataFrame:
     return access.users(table(spark, root, "user_profiles"))
 
 
-def search(spark: SparkSession, root: str):
-    """(asks, index, pool, selected) of the golden questions."""
-    a = cut(asks(spark, root), "asks")
+def search(spark: SparkSession, root: str, asked: DataFrame | None = None):
+    """(asks, index, pool, selected) of the golden questions, or of ``asked`` (id, employee_no, qtext)."""
+    a = cut(asks(spark, root) if asked is None else asked, "asks")
     index = retrieval.build_index(cut(chunks(spark, root), "chunks"), cut=cut)
     found = retrieval.candidates(a.select("qtext").distinct(), index)
     pool = cut(retrieval.pools(a, found, index.chunks, people(spark, root), TODAY), "pool")
@@ -62,9 +83,9 @@ class Evidence:
     pairs: DataFrame
 
 
-def gated(spark: SparkSession, root: str) -> Evidence:
-    """The golden questions searched, and which of them have evidence: by their scores or by an FAQ pair."""
-    a, index, pool, chosen = search(spark, root)
+def gated(spark: SparkSession, root: str, asked: DataFrame | None = None) -> Evidence:
+    """The golden questions (or ``asked``) searched, and which of them have evidence: by their scores or by an FAQ pair."""
+    a, index, pool, chosen = search(spark, root, asked)
     chosen = cut(chosen, "selected")
     unknown = cut(retrieval.unknown_subjects(a.select("qtext").distinct(), index.terms), "unknown")
     pairs = cut(faq.pairs(documents(spark, root), index.chunks), "pairs")

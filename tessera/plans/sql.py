@@ -68,11 +68,13 @@ cs as (select count(*) as n, sum(len(t)) / count(*) as mean from toks),
 ts as materialized (select term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf_bm25, ln((1 + n) / (1 + df)) + 1 as idf_tfidf from (select term, count(*) as df from tfs group by term), cs)"""
 
 
-def search_ctes(today: str) -> str:
+def search_ctes(today: str, asks: str | None = None) -> str:
+    """The search of the golden questions, or of what ``asks`` selects (id, employee_no, qtext)."""
+    asks = asks or f"select id, min(user_id) as employee_no, min({normal('query')}) as qtext from golden_set where id is not null and query is not null and trim(query) <> '' group by id"
     return f"""{index_ctes()},
 nrm as (select chunk_ord, sqrt(sum((wtf * idf_tfidf) ** 2)) as norm from tfs join ts using (term) group by chunk_ord),
 post as materialized (select term, chunk_ord, idf_bm25 * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) as w1, wtf * idf_tfidf / norm as w2 from tfs join ts using (term) join nrm using (chunk_ord), cs),
-asks as materialized (select id, min(user_id) as employee_no, min({normal('query')}) as qtext from golden_set where id is not null and query is not null and trim(query) <> '' group by id),
+asks as materialized ({asks}),
 qd as (select distinct qtext from asks),
 qt0 as (select qtext, term, count(*) as qtf from (select qtext, unnest({tokens('qtext')}) as term from qd) group by all),
 qt1 as (select qtext, term, qtf, qtf * idf_tfidf as w from qt0 join ts using (term)),

@@ -191,6 +191,33 @@ def test_answers_need_evidence_or_a_pair(spark, sf, tmp_path):
     assert {r.id: r.behaviour for r in operations.o131_assertions(spark, str(tmp_path)).collect()} == {"faq": "", "secret": "", "strange": "not answered", "plain": "not blocked"}
 
 
+def test_the_guard_comes_before_the_search(spark):
+    sent = spark.createDataFrame([("a", "1", "휴가 <b>신청</b>은 hong@example.com 어디로"), ("b", "9", "휴가"), ("c", "1", " "), ("d", "1", "휴" * 501), ("e", "1", "주민번호 900101-1234567"), ("f", "1", "동료의 검진 결과"), ("g", "1", "<br>"), ("h", "1", None), ("i", None, "휴가")], "id string, employee_no string, message string")
+    known = spark.createDataFrame([("1", "x")], "employee_no string, role string")
+    got = {r.id: r for r in search.guarded(sent, known).collect()}
+    assert {i: r.refusal for i, r in got.items()} == {"a": None, "b": "E_AUTH", "c": "E_INPUT_INVALID", "d": "E_INPUT_TOO_LONG", "e": "E_SENSITIVE_BLOCKED", "f": "E_SENSITIVE_BLOCKED", "g": "E_INPUT_INVALID", "h": "E_INPUT_INVALID", "i": "E_AUTH"}
+    assert got["a"].qtext == "휴가 신청 은 ***@*** 어디로"
+    told = {r.id: r for r in answers.refused(search.guarded(sent, known).where("refusal is not null")).collect()}
+    assert told["f"].summary == answers.THIRD_PARTY_ANSWER and told["e"].summary == answers.SENSITIVE_ANSWER and not any(r.answered or r.citations for r in told.values())
+
+
+def test_what_is_shown_is_checked_again(spark):
+    chunks = spark.createDataFrame([("x", ["g"], ["all"], None, None, None, None), ("y", ["h"], ["all"], None, None, None, None)], "chunk_id string, acl_groups array<string>, audience array<string>, valid_until string, effective_from string, published_at string, sensitivity string")
+    people = access.users(spark.createDataFrame([("1", "employee", "d", ["g"], None, "new", None)], "employee_no string, role string, dept string, acl_groups array<string>, hire_date string, employment_type string, is_transfer boolean"))
+    shown = spark.createDataFrame([("q", "1", "x"), ("r", "1", "y"), ("s", "1", "gone"), ("t", "2", "x")], "id string, employee_no string, chunk_id string")
+    assert {r.id for r in access.hidden(shown, chunks, people, "2026-01-01").collect()} == {"r", "s", "t"}
+
+
+def test_lint_rules(spark):
+    good = ("HR-001", "1.0", "T", "c", "s", "d", "a", "public", ["all"], ["g"], "2026-01-01", "2027-01-01", "published", False, "규정", "사규", "2026-01-01", "## 절\n제1조 ① 자주 묻는 질문", "docs/HR-001.md")
+    cols = "doc_id string, version string, title string, category string, subcategory string, owner_dept string, approver string, sensitivity string, audience array<string>, acl_groups array<string>, published_at string, valid_until string, status string, demo_assumption boolean, doc_type string, authority_level string, effective_from string, body string, source_path string"
+    names = [c.split()[0] for c in cols.split(", ")]
+    odd = lambda i, **kw: tuple({**dict(zip(names, good)), "doc_id": f"HR-{i:03d}", "source_path": None, **kw}.values())
+    rows = [good, odd(2, valid_until="2026-01-01"), odd(3, effective_from="2028-01-01"), odd(4, doc_type="odd"), odd(5, authority_level=None), odd(6, effective_from=None), odd(7, body="## 절\n제1조 자주 묻는 질문"), odd(8, demo_assumption=True), odd(9, body=None), odd(10, source_path="x/other.md"), odd(11, valid_until="soon"), odd(12), odd(12)]
+    found = {(r.doc_id, r.problem) for r in quality.lint(spark.createDataFrame(rows, cols)).collect()}
+    assert found == {("HR-002", "dates out of order"), ("HR-003", "never in force"), ("HR-004", "bad doc_type"), ("HR-005", "regulation without authority"), ("HR-006", "regulation without effective_from"), ("HR-007", "articles without clauses"), ("HR-008", "no demo notice"), ("HR-009", "no section heading"), ("HR-009", "no FAQ section"), ("HR-010", "file name without doc_id"), ("HR-011", "bad valid_until"), ("HR-012", "delivered more than once")}
+
+
 def test_pairs_of_two_versions_are_kept_apart(spark):
     pairs = spark.createDataFrame([("D", 0, "휴가는 며칠인가요?", "휴가는 15일", 1), ("D", 0, "급여는 언제 주나요?", "급여는 25일", 2)], "doc_id string, pos int, question string, answer string, chunk_ord long")
     assert [(r.question, r.faq_score) for r in faq.match(spark.createDataFrame([("휴가는 며칠인가요",)], "qtext string"), pairs).collect()] == [("휴가는 며칠인가요?", 1.0)]
