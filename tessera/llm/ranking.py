@@ -20,6 +20,8 @@ from pyspark.sql.window import Window as W
 
 #: Fan-in of the elimination; three levels of it hold groups of 512 ** 3 items.
 FAN = 512
+#: Parts in which a group's rows look at its candidate.
+SALTS = 16
 
 
 def spread(c: Column) -> Column:
@@ -86,23 +88,31 @@ def beats(a: Column, b: Column, least: int) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x > y), lambda x: x)) >= least
 
 
-def undominated(pct: DataFrame, least: int = 2) -> DataFrame:
-    """The items strictly higher than each other item of their group in at least ``least`` scores.
+def may_win(least: int = 2) -> Column:
+    """What the percentiles of an item strictly higher than all others in ``least`` of three scores fulfil: each rival is
+    at or above it in one score at most, so its percentiles add up to 2 or more."""
+    return (F.col("total") <= 1) | (F.aggregate("pct", F.lit(0.0), lambda a, x: a + x) >= least - 1e-6)
 
-    An item that beats all others survives any elimination, in whatever order and grouping it is done, so a
-    few levels of bounded groups leave at most one candidate a group; a second look at all rows proves it.
+
+def undominated(pct: DataFrame, least: int = 2, among: Column | None = None) -> DataFrame:
+    """The items strictly higher than each other item of their group in at least ``least`` scores; ``among`` may tell
+    which ones can be (see :func:`may_win`).
+
+    Items meet in leximin order, in a few levels of bounded groups: one that beats all others survives (the order does
+    not decide who), which leaves at most one candidate a group, and a second look at all rows proves it.
     """
-    me = F.struct(F.col("item"), F.col("pct"))
-    none = F.lit(None).cast("struct<item:string,pct:array<double>>")
-    last = F.aggregate("list", none, lambda a, x: F.when(a.isNotNull() & beats(a["pct"], x["pct"], least), a).otherwise(x))
+    me = F.struct(F.array_sort("pct").alias("vec"), "item", "pct")
+    none = F.lit(None).cast("struct<vec:array<double>,item:string,pct:array<double>>")
+    last = F.aggregate(F.sort_array("list", asc=False), none, lambda a, x: F.when(a.isNotNull() & beats(a["pct"], x["pct"], least), a).otherwise(x))
     wide = F.ceil(F.col("total") / FAN)
-    level = pct.select("grp", "total", F.pmod(F.xxhash64("item"), wide).alias("slot"), me.alias("c"))
+    level = (pct if among is None else pct.where(among)).select("grp", "total", F.pmod(F.xxhash64("item"), wide).alias("slot"), me.alias("c"))
     for _ in range(2):
         level = level.groupBy("grp", "total", "slot").agg(F.collect_list("c").alias("list")).select("grp", "total", "slot", last.alias("c"))
         level = level.withColumn("slot", F.floor(F.col("slot") / FAN))
     best = level.groupBy("grp").agg(F.collect_list("c").alias("list")).select("grp", last.alias("c"))
+    # The second look is salted: a group may hold a third of all rows, and has one candidate.
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lost = (F.col("item") != F.col("c.item")) & ~beats(F.col("c.pct"), F.col("pct"), least)
-    return (
-        pct.join(best, "grp").groupBy("grp").agg(F.max("c.item").alias("item"), F.count_if(lost).alias("lost"))
-        .where("lost = 0").select("grp", "item")
-    )
+    looked = pct.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).join(best, ["grp", "salt"])
+    parts = looked.groupBy("grp", "salt").agg(F.max("c.item").alias("item"), F.count_if(lost).alias("lost"))
+    return parts.groupBy("grp").agg(F.max("item").alias("item"), F.sum("lost").alias("lost")).where("lost = 0").select("grp", "item")
