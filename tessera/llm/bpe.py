@@ -136,8 +136,8 @@ def encode_word(raw: Column, table: Column) -> Column:
         inside = lambda c: F.flatten(F.transform(t, lambda x, k: F.filter(x, lambda y: (y["at"] > F.coalesce(F.get(c, k - 1), F.lit(-1))) & (y["at"] <= F.coalesce(F.get(c, k), n)))))
         return let(shared, lambda c: F.when(~F.exists(c, lambda x: x.isNull()), inside(c)))
 
-    pieces = F.coalesce(let(rows, lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))).otherwise(joined(t))), _placed(_fold(raw, table), F.lit(0)))
-    return F.when(n > 0, let(_rank(raw, table), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(F.transform(pieces, lambda x: _rank(x["piece"], table)))))
+    long = F.when(n > 2 * STRIDE, F.transform(let(rows, joined), lambda x: x["piece"]))
+    return F.when(n > 0, let(_rank(raw, table), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(F.transform(F.coalesce(long, _fold(raw, table)), lambda x: _rank(x, table)))))
 
 
 def dictionary(text: DataFrame, path: str) -> DataFrame:
