@@ -106,6 +106,11 @@ def p7_masked(spark: SparkSession, root: str) -> DataFrame:
     return chat.unionByName(save)
 
 
+def p7_surrogates(spark: SparkSession, root: str) -> DataFrame:
+    """That no two entities of both fields share a surrogate, and none is an entity itself."""
+    return pii.collisions(list(zip(_requests(spark, root), (False, True))), KEY)
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -218,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ranking": p6_ranking,
     "p7_found": p7_found,
     "p7_masked": p7_masked,
+    "p7_surrogates": p7_surrogates,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_packing": p9_packing,
@@ -235,6 +241,7 @@ SQL = {
     "p3_found": f"select chunk_id, term from ({_P3}) where tf >= 3 and df between 2 and 8",
     "p6_ranking": _P6_RANKING,
     "p6_found": _P6_FOUND,
+    "p7_surrogates": "select 0 as shared, 0 as real, 0 as missing, 0 as several",
     "p9_invariants": "select container_id, (select count(*) from documents) as items, 0 as unequal, 0 as split, 0 as overfull from containers",
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }

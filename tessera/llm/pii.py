@@ -20,6 +20,7 @@ import hashlib
 import hmac
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -197,6 +198,15 @@ def canonical(kind: str, value: str) -> str:
 
 SURNAMES = "김 이 박 최 정 강 조 윤 장 임 한 오 서 신 권 황 안 송 류 전 홍 고 문 양 손 배 백 허 유 남 심 노 하 곽 성 차 주 우 구 민".split()
 GIVEN = {"m": "준 현 훈 석 철 혁 건 태 욱 규 범 식".split(), "f": "희 숙 미 은 영 연 아 나 경 혜 솔 별".split(), "n": "서 지 민 도 하 윤 진 수 유 재 승 우 해 가 온 빈 찬 소 다 주 세 채 노 라 이 한 은 담 결 율".split()}
+#: Endings of given names that show a gender; a surrogate keeps to the list its name ends in.
+SHOWN = {"f": "子美奈香恵花莉娜婷芳", "m": "郎男夫雄太介刚强伟勇"}
+HIRAGANA, KATAKANA = "あいうえおかきくけこさしすせそたちつてとなにのはひふみもやゆよらりれわ", "アイウエオカキクケコサシスセソタチツテトナニノハヒフミモヤユヨラリレワ"
+#: Consonants and vowel signs (none is one too) of scripts that write syllables.
+SYLLABLES = {("\u0e00", "\u0e7f"): ("กขคงจชดตทนบปพมยรลวสห", "าีู"), ("\u0900", "\u097f"): ("कखगचजडतदनपबमयरलवसह", ("", "ा", "ी", "ु", "े", "ो"))}
+#: Letters of names in scripts with upper and lower case.
+ALPHABETS = {("\u0400", "\u04ff"): "абвгдезиклмнопрстуфхя", ("\u0370", "\u03ff"): "αβγδεζηθικλμνοπρστυφχψω"}
+#: What stands behind the parts of an address in Chinese characters.
+MARKS = "丁目|番地|号室|大道|单元|都|道|府|県|市|区|町|村|番|号|省|县|路|街|巷|栋|幢|座|室|楼|の"
 KANJI = "山川田中村木林森石井上下高橋松竹梅原野岡島崎浜谷口池沢青赤白金水光明和正清春秋冬美雪花月"
 VOWELS, CONSONANTS = "aeiou", "bdfgklmnprstvz"
 PLACES = "가람 나래 다솜 라온 마루 바다 사랑 아라 자람 차오 하람 누리 미르 보람 새론 이든 초롱 푸름 한울 해든".split()
@@ -228,6 +238,61 @@ def gender(value: str) -> str:
     return "m" if last in GIVEN["m"] else "f" if last in GIVEN["f"] else "n"
 
 
+def _birth(d: Draw, digits: str) -> str:
+    """A date in the place of one, years of two or four digits."""
+    year = f"{d.below(60) + 40:02d}" if len(digits) == 6 else str(1950 + d.below(55))
+    return f"{year}{d.below(12) + 1:02d}{d.below(28) + 1:02d}"
+
+
+def _foreign(d: Draw, v: str, turn: int) -> str:
+    """A name in a script without a table of names: syllables of the script, or letters of its block."""
+    for (low, high), (consonants, vowels) in SYLLABLES.items():
+        if any(low <= c <= high for c in v):
+            word = lambda m: "".join(d.of(consonants) + d.of(vowels) for _ in range(max(2, len(m[0]) // 2 + turn // 3)))
+            return re.sub(r"\S+", word, v)
+    out = []
+    for c in v:
+        block = ord(c) & ~0x7F
+        same = [x.upper() if c.isupper() else x for (low, high), letters in ALPHABETS.items() if low <= c <= high for x in letters]
+        same = same or [x for x in map(chr, range(block, block + 128)) if unicodedata.category(x) == unicodedata.category(c)]
+        out.append(d.of(same) if unicodedata.category(c).startswith("L") and same else c)
+    return "".join(out) + (d.of([x for x in out if x.isalpha()] or ["x"]) * (turn // 3))
+
+
+def _chinese(d: Draw, v: str, turn: int) -> str:
+    """A name in Chinese characters and kana, each replaced within its script."""
+    sets = lambda c: next((s for s in SHOWN.values() if c in s and c == v[-1] and len(v) > 1), HIRAGANA if "ぁ" <= c <= "ん" else KATAKANA if "ァ" <= c <= "ヶ" else KANJI)
+    made = "".join(c if c.isspace() or c == "ー" else d.of(sets(c)) for c in v)
+    return made[:-1] + "".join(d.of(KANJI) for _ in range(turn // 3)) + made[-1:]
+
+
+def _latin(d: Draw, v: str, turn: int) -> str:
+    """A name in Latin letters; a first name that ends in a keeps the ending, others end in a consonant."""
+    initials = re.sub(r"\b[A-Z]\.", lambda _: d.of("ABCDEFGHJKLMNPRSTW") + ".", v)
+    first = re.search(r"[^\W\d_]{2,}", v)
+
+    def word(m: re.Match) -> str:
+        made = d.word(len(m[0]) + turn)
+        if first and m.start() == first.start():
+            made = made[:-1] + ("a" if m[0].endswith("a") else d.of(CONSONANTS))
+        return made.capitalize()
+
+    return re.sub(r"[^\W\d_]{2,}", word, initials)
+
+
+def _address(d: Draw, v: str, turn: int) -> str:
+    """An address whose numbers and names are others; what marks its parts stays."""
+    numbers = re.sub(r"\d", lambda _: str(d.below(9) + 1), v)
+    if re.search(r"[가-힣]", v):
+        place = lambda m: d.of(PLACES) + (d.of(PLACES) if turn else "") + m[1]
+        return re.sub(r"[가-힣]+?(특별자치시|특별자치도|특별시|광역시|시|군|구|읍|면|리|대로|로|길)(?=\s)", place, numbers)
+    if re.search(r"[一-鿿]", v):
+        part = lambda x: x if re.fullmatch(MARKS, x) else "".join(d.of(KANJI) for _ in range(len(x) + (turn // 3 if x else 0)))
+        return re.sub(r"[一-鿿々ぁ-んァ-ヶー]+", lambda m: "".join(map(part, re.split(f"({MARKS})", m[0]))), numbers)
+    kept = rf"(?!(?:{_STREET}|Flat|Apt|Apartment|Unit|Suite|Floor|App|Whg|Am|An|Im|Zum|Zur|rue|avenue)\b)"
+    return re.sub(rf"{kept}\b[A-ZÀ-Þ][\w'’-]+?(?=(?:weg|straße|strasse|str\.|platz|allee|gasse|ring|damm|ufer|steig|pfad)?\b)(?!\w*\d)", lambda m: d.word(len(m[0]) + turn).capitalize(), numbers)
+
+
 def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
     """A replacement of the same type, script and format. Later turns draw from larger spaces."""
     v = value.translate(_WIDE)
@@ -240,32 +305,24 @@ def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
         return made + rest[:first] + "example" + (" [dot] " if re.search(r"[\[(]\s?dot", rest) else ".") + d.of(["com", "net", "org"])
     if kind in (PHONE, ID):
         digits = sum(c.isdigit() for c in v)
-        keep = {PHONE: (re.match(r"\+\d{1,3}[-. ]?(?:10)?|\(?0\d{1,2}\)?|공일공|영일공|", v).end()), ID: 0}[kind]
-        sign = re.match(r"\d{6}[- ]?(?=\d{7}$)", v) if kind == ID else None
-        out = []
-        for i, c in enumerate(v):
-            if i < keep or not c.isalnum() or sign and i == sign.end():
-                out.append(c)
-            elif c.isdigit():
-                out.append(str(d.below(10)))
-            else:
-                out.append(d.of("ABCDEFGHJKLMNPRSTUVWXYZ") if c.isupper() and digits else c)
-        return "".join(out)
+        keep = re.match(r"\+\d{1,3}[-. ]?(?:10)?|\(?0\d{1,2}\)?|공일공|영일공|", v).end() if kind == PHONE else 0
+        out = [c if i < keep or not c.isalnum() else str(d.below(10)) if c.isdigit() else d.of("ABCDEFGHJKLMNPRSTUVWXYZ") if c.isupper() and digits else c for i, c in enumerate(v)]
+        made = "".join(out)
+        if kind == ID and (m := re.fullmatch(r"(\d{6})([- ]?\d)(\d{6})", v)):
+            # Birth date and the digit that tells gender and century.
+            return _birth(d, m[1]) + m[2] + made[m.end(2) :]
+        if kind == ID and re.fullmatch(r"\d{17}[\dXx]", v):
+            # The last but one digit is odd for men.
+            return made[:6] + _birth(d, v[6:14]) + made[14:16] + str(d.below(5) * 2 + int(v[16]) % 2) + made[17:]
+        return made
     if kind == NAME:
         if re.search(r"[가-힣]", v):
             given = v.replace(" ", "")[1:]
             g = gender(given)
             made = "".join(d.of(GIVEN["n"]) for _ in range(max(1, len(given)) - 1 + turn // 3)) + d.of(GIVEN[g])
             return d.of(SURNAMES) + (" " if " " in v else "") + made
-        if re.search(r"[一-鿿]", v):
-            return "".join(c if c.isspace() else d.of(KANJI) for c in v) + "".join(d.of(KANJI) for _ in range(turn // 3))
-        if re.search(r"[A-Za-z]", v):
-            return re.sub(r"[^\W\d_]{2,}", lambda m: d.word(len(m.group(0)) + turn).capitalize(), re.sub(r"\b[A-Z]\.", lambda _: d.of("ABCDEFGHJKLMNPRSTW") + ".", v))
-        return "".join(d.of(sorted({*v} - {" "})) if not c.isspace() else c for c in v) + str(turn or "")
-    numbers = re.sub(r"\d", lambda m: str(d.below(9) + 1), v)
-    if re.search(r"[가-힣]", v):
-        return re.sub(r"[가-힣]+?(특별자치시|특별자치도|특별시|광역시|시|군|구|읍|면|리|대로|로|길)(?=\s)", lambda m: d.of(PLACES) + (d.of(PLACES) if turn else "") + m[1], numbers)
-    return re.sub(rf"(?!(?:{_STREET}|Flat|Apt|Unit|Suite|rue|avenue)\b)\b[A-ZÀ-Þ][\w'’-]{{3,}}?(?=(?:weg|straße|strasse|platz|allee|gasse)?\b)", lambda m: d.word(len(m.group(0)) + turn).capitalize(), numbers)
+        return _chinese(d, v, turn) if re.search(r"[一-鿿ぁ-ヶ]", v) else _latin(d, v, turn) if re.search(r"[A-Za-z]", v) else _foreign(d, v, turn)
+    return _address(d, v, turn)
 
 
 def found(df: DataFrame, is_json: bool = False) -> DataFrame:
@@ -336,13 +393,39 @@ def masked(df: DataFrame, key: bytes, is_json: bool = False) -> DataFrame:
 def masked_together(tables: list[tuple[DataFrame, bool]], key: bytes) -> list[DataFrame]:
     """:func:`masked` of several tables ``(table, is_json)`` under one vault: an entity has the same surrogate in all
     of them, and no surrogate is an entity of any."""
-    named = F.udf(canonical, "string")
-    hits = [cut(found(df, is_json).withColumn("name", named("kind", "pii_text")), "pii") for df, is_json in tables]
-    values = [h.select("kind", "name", F.col("pii_text").alias("value")) for h in hits]
-    given = vault(reduce(DataFrame.unionByName, values), key)
+    hits = [cut(_named(df, is_json), "pii") for df, is_json in tables]
+    given = vault(_values(hits), key)
     return [_replaced(df, is_json, h, given) for (df, is_json), h in zip(tables, hits)]
 
 
+def _named(df: DataFrame, is_json: bool) -> DataFrame:
+    """:func:`found` with ``name``, what makes two spellings one entity."""
+    return spread(df, ["field", "rec_id"], "kind string, pii_text string, name string", lambda t: [(k, v, canonical(k, v)) for k, v in entities(t, is_json)])
+
+
+def _values(hits: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [h.select("kind", "name", F.col("pii_text").alias("value")) for h in hits])
+
+
+def collisions(tables: list[tuple[DataFrame, bool]], key: bytes) -> DataFrame:
+    """One row: surrogates that several entities share, surrogates that are entities themselves, entities without one and
+    entities with several. All must be 0."""
+    values = cut(_values([_named(df, is_json) for df, is_json in tables]), "pii")
+    real = values.select("kind", "name").distinct()
+    given = cut(vault(values, key), "given")
+    plain = given.mapInPandas(_plain, "kind string, plain string")
+    shared = plain.groupBy("kind", "plain").count().agg(F.count_if(F.col("count") > 1).alias("shared"))
+    taken = plain.join(real.withColumnRenamed("name", "plain"), ["kind", "plain"], "left_semi").agg(F.count("*").alias("real"))
+    each = real.join(given.groupBy("kind", "name").agg(F.count("*").alias("n")), ["kind", "name"], "left").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("several"))
+    # One row each.
+    return shared.crossJoin(F.broadcast(taken)).crossJoin(F.broadcast(each))
+
+
+def _plain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        yield pd.DataFrame({"kind": pdf["kind"], "plain": [canonical(k, s) for k, s in zip(pdf["kind"], pdf["surrogate"])]})
+
+
 def _replaced(df: DataFrame, is_json: bool, hits: DataFrame, given: DataFrame) -> DataFrame:
     own = hits.join(given, ["kind", "name"]).groupBy("field", "rec_id").agg(F.collect_list(F.struct("kind", "pii_text", "surrogate")).alias("given"))
 

@@ -92,6 +92,22 @@ def test_surrogates_are_distinct_consistent_and_alike(spark):
     assert pii.surrogate("id_number", "900101-2345678", b"k")[7] == "2" and re.fullmatch(r"[A-Z][a-z]{3} [A-Z]\. [A-Z][a-z]{2}", pii.surrogate("name", "Anna B. Lee", b"k"))
 
 
+def test_surrogates_by_script():
+    for i in range(40):
+        key = str(i).encode()
+        for name, letters in (("สมชาย ใจดี", r"[ก-๎]+ [ก-๎]+"), ("राम शर्मा", r"[ऀ-ॿ]+ [ऀ-ॿ]+"), ("佐藤 さくら", r"[一-鿿]{2} [ぁ-ん]{3}"), ("田中花子", rf"[一-鿿]{{3}}[{pii.SHOWN['f']}]"), ("Анна", r"[А-я]{4}"), ("Maria Long", r"[A-Z][a-z]+a [A-Z][a-z]+"), ("김은희", r"[가-힣]{3}")):
+            made = pii.surrogate("name", name, key)
+            assert re.fullmatch(letters, made) and made != name, (name, made)
+        for address, gone in (("北京市朝阳区建国路88号2栋", ("北京", "朝阳", "建国", "88")), ("東京都港区芝公園4-2-8", ("東京", "芝公園")), ("12 Oak Street, Flat 3, Velkton", ("Oak", "Velkton", "12"))):
+            made = pii.surrogate("address", address, key)
+            assert not any(x in made for x in gone if len(x) > 2 or not x.isdigit()), made
+        assert re.fullmatch(r".{2}市.{2}区.{2}路\d\d号\d栋", pii.surrogate("address", "北京市朝阳区建国路88号2栋", key)) and " Street, Flat " in pii.surrogate("address", "12 Oak Street, Flat 3, Velkton", key)
+        made = pii.surrogate("id_number", "900101-2345678", key)
+        assert 1 <= int(made[2:4]) <= 12 and 1 <= int(made[4:6]) <= 28 and made[7] == "2"
+        made = pii.surrogate("id_number", "110101199003071233", key)
+        assert 1950 <= int(made[6:10]) < 2005 and 1 <= int(made[10:12]) <= 12 and int(made[16]) % 2 == 1
+
+
 def test_surrogates_of_two_tables_come_from_one_vault(spark, tmp_path):
     names = [f"{s}{a}{b}" for s in "김이박최정" for a in "가나다라마바사아" for b in "자차카타파하거너희숙미은영연"]
     spark.createDataFrame([(str(i), f"어제 {n} 님과 통화했어요.") for i, n in enumerate(names[:400])], "request_id string, message string").selectExpr("*", "timestamp'2026-01-01' as received_at").write.parquet(str(tmp_path / "chat_requests.parquet"))
@@ -100,6 +116,7 @@ def test_surrogates_of_two_tables_come_from_one_vault(spark, tmp_path):
     chat = {n: got["chat_requests.message", i] for i, n in enumerate(names[:400])}
     save = {n: got["save_requests.payload", i] for i, n in enumerate(names[200:])}
     assert all(chat[n] == save[n] for n in names[200:400])
+    assert tuple(catalog.p7_surrogates(spark, str(tmp_path)).first()) == (0, 0, 0, 0)
     both = chat | save
     assert len(set(both.values())) == len(names) and not set(both.values()) & set(names)
 
