@@ -289,36 +289,66 @@ def visible(raw: str, kind: str) -> str:
 
 SHORT, LONG, DENSE, THIN, LINKED, MENU = 40, 120, 0.08, 0.02, 0.6, 3
 _LINK = re.compile(r"\[[^\[\]]*\]\([^()]*\)|\[\[[^\[\]]*\]\]|<a\b[^>]*>(.*?)</a\s*>|\\href\{[^{}]*\}\{[^{}]*\}|https?://\S+", re.S | re.I)
+#: Parts of a page that frame it.
+_FRAME = re.compile(r"<(nav|header|footer|aside)\b[^>]*>(?:.*?</\1\s*>|.*\Z)", re.S | re.I)
+#: Scripts without blanks between words: there the share of function words is that of their characters among all.
+_UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff]")
+#: Not \\w: vowel signs belong to their words.
+_BORDER = re.compile(r"[\s.,;:!?()\[\]{}<>\"“”„«»।/|-]+")
+_ENDED = re.compile(r"[.!?。！？।…](?=\s|$)|[。！？।]")
+_FUNCTION = re.compile(r"[のはをにがでともへやか的了在是和不有就也请把被个这那]|ที่|ใน|และ|ของ|ให้|ได้|เป็น|มี|จะ|ไม่|การ|เพื่อ")
+
+
+def _stops(words: str) -> float:
+    """Share of function words, in scripts without blanks that of their characters, whichever is greater."""
+    tokens = [t for t in _BORDER.split(words.lower()) if t]
+    spaced = sum(t in STOPWORDS or (len(t) > 1 and t[-1] in "은는을를이가의에도로요다") for t in tokens) / max(1, len(tokens))
+    return max(spaced, 2 * len(_FUNCTION.findall(words)) / max(1, len(_UNSPACED.findall(words)), len(words) // 8))
 
 
 def classify(blocks: list[Block], text: str, kind: str) -> None:
-    """Label every block ``content`` or ``residue``; three or more neighbours made of links are decided residue."""
+    """Label every block ``content`` or ``residue``.
+
+    The first pass decides: running text by its function words is content; a long paragraph almost without any and without a
+    sentence's end (a wall of labels) is residue where the text's language is known by its other blocks, and so are blocks made of links that frame the page (in nav, header, footer or aside, or three and
+    more in a row before anything is content). All other blocks are open: short ones, headings, code, formulas, single
+    links and lists of links inside the text. The second pass gives an open block the label its nearest decided
+    neighbours share; where they differ, or there is none, it is content, for a lost line costs more than a kept label.
+    A short line or item at either end follows its only neighbour, and one inside of a frame those of the frame; a heading
+    never does.
+    """
+    frames = [m.span() for m in _FRAME.finditer(text)] if kind == "html" else []
+    sizes: dict[int, int] = {}
+    frame: dict[int, int] = {}
     for b in blocks:
         if b.kind in (CODE, FORMULA, TABLE):
             b.label = "open"
             continue
         raw = text[b.start : b.end]
         words = visible(raw, kind)
-        size = len(words)
+        size = sizes[id(b)] = len(words)
         linked = sum(len(visible(m.group(0), kind)) for m in _LINK.finditer(raw)) / max(1, size)
-        tokens = re.findall(r"\w+", words.lower())
-        stops = sum(t in STOPWORDS or (len(t) > 1 and t[-1] in "은는을를이가의에도로") for t in tokens) / max(1, len(tokens))
+        frame[id(b)] = next((n for n, (x, y) in enumerate(frames) if x <= b.start < y), -1)
         if linked > LINKED and size > 3:
-            b.label = "linked"
+            b.label = "residue" if frame[id(b)] >= 0 else "linked"
         elif size < SHORT or b.kind == HEADING:
             b.label = "open"
-        elif stops >= DENSE or (size >= LONG and stops >= THIN):
-            b.label = "content"
         else:
-            b.label = "open"
-    # A link alone may be a word of the text; a row of them is a menu.
+            stops = _stops(words)
+            b.label = "content" if stops >= DENSE or (size >= LONG and stops >= THIN) else "wall" if size >= LONG and b.kind == PARA and not _ENDED.search(words) else "open"
+    known = any(b.label == "content" for b in blocks)
+    for b in blocks:
+        if b.label == "wall":
+            b.label = "residue" if known else "open"
+    begun = False
     i = 0
     while i < len(blocks):
         j = i
         while j < len(blocks) and blocks[j].label == "linked":
             j += 1
         for b in blocks[i:j]:
-            b.label = "residue" if j - i >= MENU else "open"
+            b.label = "residue" if j - i >= MENU and not begun else "open"
+        begun |= blocks[i].label == "content"
         i = max(j, i + 1)
     decided = [(i, b.label) for i, b in enumerate(blocks) if b.label != "open"]
     k = 0
@@ -327,9 +357,12 @@ def classify(blocks: list[Block], text: str, kind: str) -> None:
             continue
         while k < len(decided) and decided[k][0] < i:
             k += 1
-        around = {x[1] for x in decided[max(0, k - 1) : k + 1]}
-        # Only between residue on both sides a block is residue: a lost sentence costs more than a kept label.
-        b.label = "residue" if around == {"residue"} and len(decided) > 1 and 0 < k < len(decided) else "content"
+        around, inner = decided[max(0, k - 1) : k + 1], 0 < k < len(decided)
+        mine = frame.get(id(b), -1)
+        if mine >= 0 and (own := [x for x in around if frame.get(id(blocks[x[0]]), -1) == mine]):
+            around, inner = own, len(own) == 2
+        line = b.kind in (ITEM, PARA, CLAUSE) and sizes.get(id(b), SHORT) < SHORT
+        b.label = "residue" if {x[1] for x in around} == {"residue"} and (inner or line) else "content"
 
 
 def elements(text: str | None) -> list[tuple[str, str]]:

@@ -71,6 +71,19 @@ def test_link_lists_are_residue():
     assert markup.clean(text) == f"{body}\n## Head\n{body}" and markup.clean(None) is None and markup.clean("") == ""
 
 
+def test_boilerplate_is_decided_in_two_passes():
+    body = "The report of the year is long and it is about the work of the people in the house, as it was said before."
+    wall = "Laptop Drucker Monitor Tastatur Maus Kabel Adapter Dock Beamer Leinwand Whiteboard Stifte Papier Toner Ordner Locher Hefter Klammern"
+    nav = "".join(f'<li><a href="/{i}">Menu number {i}</a></li>' for i in range(4))
+    page = f"<nav><ul>{nav}<li>Login</li></ul></nav><h1>Title</h1><p>{body}</p><ul><li>kept item</li></ul><p>{body}</p><footer><p>{wall}</p><ul><li>Imprint</li><li><a href='/p'>Privacy statement</a></li></ul></footer>"
+    # Links in the frame and the wall of labels are decided by the first pass, Login and Imprint by their neighbours.
+    assert set(markup.elements(page)) == {("heading", "Title"), ("list_item", "kept item")}
+    related = f"# Head\n\n{body}\n\n## Related documents\n\n- [one](a)\n- [two words](b)\n- [three](c)\n"
+    assert set(markup.elements(related)) == {("heading", "Head"), ("heading", "Related documents"), ("list_item", "one"), ("list_item", "two words"), ("list_item", "three")}
+    labels = f"{wall}\n\n# Lost\n\n- lost\n\n{wall}\n\n# Kept\n\n{body}"
+    assert set(markup.elements(labels)) == {("heading", "Kept")}
+
+
 def test_pii_found():
     text = "제 이름은 김하늘입니다. 담당자 박 솔님께, 메일 a.b+c@mail.example.com, c (at) d.example, +82 10-1234-5678, (02) 123-4567, 010 1234 5678, 주민번호는 900101-2345678, 집은 가온시 한빛구 솔내로 71번길 11, 105동 2호 입니다. 접수번호 2026-07-195, 오류 코드 424-252-79, 2026-01-02, 인사팀 대리님께. 김하늘에게."
     assert set(pii.entities(text)) == {("name", "김하늘"), ("name", "박 솔"), ("email", "a.b+c@mail.example.com"), ("email", "c (at) d.example"), ("phone", "+82 10-1234-5678"), ("phone", "(02) 123-4567"), ("phone", "010 1234 5678"), ("id_number", "900101-2345678"), ("address", "가온시 한빛구 솔내로 71번길 11, 105동 2호")}
