@@ -21,11 +21,16 @@ def field(df: DataFrame, name: str, rec: Column, text: str, at: str | None = Non
     )
 
 
+#: Bytes of a task, and most tasks of a shuffle.
+TASK_BYTES, TASKS = 64 << 20, 100_000
+
+
 def evenly(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows spread by hash of ``keys`` over some tasks a core. Text in Python costs far more than this shuffle, and a
-    small table comes in fewer partitions than there are cores; hashing gives the same partitions on a retry."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    """Rows spread by hash of ``keys`` over tasks of about ``TASK_BYTES`` (by the planner's estimate), and over some tasks
+    a core at least. Text in Python costs far more than this shuffle, and a small table comes in fewer partitions than
+    there are cores; hashing gives the same partitions on a retry."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(3 * df.sparkSession.sparkContext.defaultParallelism, min(TASKS, size // TASK_BYTES + 1))
     return df.repartition(n, *keys)
 
 
