@@ -49,14 +49,16 @@ def tokens(normal: Column, with_bigrams: bool = True) -> Column:
     """Per word of two or more characters: the word, its stem if it differs (both unless stopwords), its marked bigrams."""
     none = F.array().cast("array<string>")
 
-    def of(w: Column) -> Column:
-        s = stem(w)
+    def of(x: Column) -> Column:
+        w, s = x["word"], x["stem"]
         parts = [F.when(~_stop(w), F.array(w)).otherwise(none), F.when((s != w) & ~_stop(s), F.array(s)).otherwise(none)]
         if with_bigrams:
             parts.append(F.transform(bigrams(w), lambda g: F.concat(F.lit("__"), g)))
         return F.concat(*parts)
 
-    return F.flatten(F.transform(F.filter(split_words(normal), lambda w: F.length(w) >= 2), of))
+    # The stem is a field, so its patterns run once a word and not once a use.
+    stemmed = F.transform(F.filter(split_words(normal), lambda w: F.length(w) >= 2), lambda w: F.struct(w.alias("word"), stem(w).alias("stem")))
+    return F.flatten(F.transform(stemmed, of))
 
 
 def content_terms(normal: Column) -> Column:

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -26,6 +25,8 @@ K1, B = 1.2, 0.75
 ALPHA, TOP, KEEP, PER_DOCUMENT, CUT = 0.4, 30, 5, 3, 0.62
 GATE_COSINE, GATE_HYBRID, GATE_CITABLE = 0.229, 0.500, 1
 HEADING_REPEAT = 3
+#: Most tasks of a shuffle.
+TASKS = 100_000
 
 
 @dataclass
@@ -72,6 +73,19 @@ def build_index(chunks: DataFrame, with_bigrams: bool = True, cut=lambda df, nam
     return Index(chunks, cut(postings, "postings"), stats, first)
 
 
+def save_index(index: Index, path: str) -> None:
+    """Write the tables of an index under ``path``; the last one written tells that it is whole."""
+    for name in ("chunks", "terms", "postings"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    index.chunks.sparkSession.createDataFrame([(index.first,)], "first array<bigint>").coalesce(1).write.mode("overwrite").parquet(f"{path}/first")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index written by :func:`save_index`."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("chunks"), read("postings"), read("terms"), list(read("first").first()[0]))
+
+
 def query_terms(queries: DataFrame, terms: DataFrame, with_bigrams: bool = True) -> DataFrame:
     """``qtext, term, qtf, qw`` of distinct normal texts ``qtext``; qw is the unit TF-IDF weight, unknown terms are left out."""
     counts = queries.select("qtext", F.explode(korean.tokens(F.col("qtext"), with_bigrams)).alias("term")).groupBy("qtext", "term").agg(F.count("*").alias("qtf"))
@@ -168,20 +182,20 @@ def dense_cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, cosine``: the ``k`` nearest of ``vectors`` (vec_id, embedding) to each query vector but itself.
 
-    Queries go to the vectors in blocks of about ``block`` (what the driver and each task hold), every batch of vectors
-    keeps its own best ``k`` of each query, and only those are shuffled. Cosines are rounded to six places, ties go to
-    the smaller id; a null or zero vector has cosine 0 to all.
+    Queries and vectors are put into blocks, every task gets one block of queries and one of vectors, keeps the best
+    ``k`` of each query, and only those are shuffled. No vector reaches the driver, and no task holds more than the two
+    blocks of about ``block``.
+    Cosines are rounded to six places, ties go to the smaller id; a null or zero vector has cosine 0 to all, a row without an id is left out.
     """
-    blocks = max(1, -(-queries.count() // block))
-    parts = []
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if rows:
-            parts.append(vectors.select("vec_id", "embedding").mapInPandas(_best([r.vec_id for r in rows], [r.embedding for r in rows], k), "query_id bigint, vec_id bigint, cosine double"))
-    if not parts:
-        return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("cosine")).where("false")
+    size = lambda df: -(-max(1, df.count()) // block)
+    n, m = size(queries), size(vectors)
+    packed = lambda df, blocks, name: df.where("vec_id is not null").select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias(name), F.struct("vec_id", "embedding").alias("one")).groupBy(name).agg(F.collect_list("one").alias(name + "s"))
+    # Each block of vectors goes once to each block of queries.
+    q = packed(queries, n, "q").withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    pairs = q.join(packed(vectors, m, "v"), "v").repartition(max(1, min(n * m, TASKS)), "q", "v")
+    best = pairs.mapInPandas(_best(k), "query_id bigint, vec_id bigint, cosine double")
     line = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+    return best.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
 
 
 def _unit(rows: list, size: int) -> np.ndarray:
@@ -190,18 +204,17 @@ def _unit(rows: list, size: int) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _best(ids: list[int], embeddings: list, k: int):  # noqa: ANN202
-    size = max((len(e) for e in embeddings if e is not None), default=0)
-    q, names = _unit(embeddings, size), np.array(ids)
-
+def _best(k: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.sort_values("vec_id")
-            mine = pdf["vec_id"].to_numpy()
-            cos = np.round(q @ _unit(list(pdf["embedding"]), size).T, 6) + 0.0
-            cos[names[:, None] == mine[None, :]] = -2.0
-            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            out = pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "vec_id": mine[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()})
-            yield out[out["cosine"] > -2.0]
+            for qs, vs in zip(pdf["qs"], pdf["vs"]):
+                vs = sorted(vs, key=lambda v: v["vec_id"])
+                size = max((len(x["embedding"]) for x in (*qs, *vs) if x["embedding"] is not None), default=0)
+                names, mine = np.array([x["vec_id"] for x in qs]), np.array([x["vec_id"] for x in vs])
+                cos = np.round(_unit([x["embedding"] for x in qs], size) @ _unit([x["embedding"] for x in vs], size).T, 6) + 0.0
+                cos[names[:, None] == mine[None, :]] = -2.0
+                top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "vec_id": mine[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()})
+                yield out[out["cosine"] > -2.0]
 
     return run

@@ -165,6 +165,25 @@ c as (select * from o where not new or snapshot_date > first),
 x as (select doc_id, snapshot_date, 'version' as attribute, v as before, version as after from c union all select doc_id, snapshot_date, 'status', s, status from c union all select doc_id, snapshot_date, 'owner_dept', d, owner_dept from c union all select doc_id, snapshot_date, 'valid_until', u, valid_until from c)
 select * from x where before is distinct from after""",
 }
+_UNSAFE = lambda c: "coalesce(" + " or ".join(answering._rx(c, p) for p in text.BLOCK.values()) + f" or ({answering._rx(c, text.HEALTH)} and not {answering._rx(c, text.INSTITUTION)}), false)"
+_SAVED = f"""r as (select employee_no, kind, save_id::varchar as item_id, requested_at as asked, case when json_valid(payload) then payload::json else '{{}}'::json end as p from save_requests where employee_no is not null and kind in ('saved_answers', 'checklist') and payload is not null),
+safe as (select * from r where case when kind = 'checklist' then not {_UNSAFE("(p->>'text')")} else not ({_UNSAFE("(p->>'query')")} or {_UNSAFE("(p->>'summary')")}) end),
+it as (select distinct on (employee_no, kind, item_id) * from safe order by employee_no, kind, item_id, asked),
+{answering._LATEST_DOCS},
+vk as (select *, case when list_has_any(list_transform(string_split(version, '.'), lambda x: try_cast(x as int) is null), [true]) then [0] else list_transform(string_split(version, '.'), lambda x: try_cast(x as int)) end as vk from kd),
+cur as (select distinct on (doc_id) doc_id, version as now from vk order by doc_id, vk desc),
+ci as (select employee_no, kind, item_id, c->>'doc_id' as doc_id, c->>'version' as version from (select *, unnest(((p->'citations')::json[])[1:5]) as c from it) union all select employee_no, kind, item_id, p->>'doc_id', nullif(p->>'doc_version', '') from it),
+st as (select employee_no, kind, item_id, array_to_string(list_sort(list(distinct doc_id || ' v' || now)), ', ') as stale from ci join cur using (doc_id) where version <> now group by all),
+items as (select it.employee_no, it.kind, it.item_id, least(coalesce(json_array_length(p->'actions'), 0), 10) as actions, least(coalesce(json_array_length(p->'citations'), 0), 5) as citations, false as done, true as is_new, coalesce(stale, '') as stale
+  from it left join st on st.employee_no = it.employee_no and st.kind = it.kind and st.item_id = it.item_id)"""
+SQL["o124_saved_items"] = f"with {_SAVED} select * from items"
+SQL["o129_saved_counts"] = f"with {_SAVED} select employee_no, kind, count(*) filter (not done) as open, count(*) as items, count(*) filter (done) as done, count(*) filter (is_new) as new from items group by all"
+# Greedy with a limit of two: a request is refused if the accepted one before the last lies within the period.
+SQL["o118_rate_limit"] = f"""with recursive {_TURNS}, e as (select *, row_number() over (partition by employee_no order by sent_at, request_id) as n from t where employee_no is not null and sent_at is not null),
+g as (select employee_no, request_id, n, true as accepted, null::timestamp as a, sent_at as b from e where n = 1
+  union all select e.employee_no, e.request_id, e.n, coalesce(epoch(e.sent_at) - epoch(g.a) > 600, true), case when coalesce(epoch(e.sent_at) - epoch(g.a) > 600, true) then g.b else g.a end, case when coalesce(epoch(e.sent_at) - epoch(g.a) > 600, true) then e.sent_at else g.b end
+  from g join e on e.employee_no = g.employee_no and e.n = g.n + 1)
+select request_id, accepted from g union all select request_id, true from t where employee_no is null and sent_at is not null"""
 SQL["o132_metrics"] = f"""with {sql.search_ctes(search.TODAY)}, gt as ({search.SQL['o75_gate']}),
 dc as (select id, list(doc_id) as docs from sel group by id),
 ga as (select id, any_value(query_type) as query_type, any_value(expected_docs) as ed, any_value(expected_behavior) as eb from golden_set where id is not null group by id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import korean, text
 from tessera.operators import access, faq, retrieval
 from tessera.plans import sql
-from tessera.session import cut
+from tessera.session import cut, exists, shared_dir, stamp
 from tessera.sources.tables import table
 
 #: The day the questions are asked on.
@@ -61,13 +62,29 @@ def people(spark: SparkSession, root: str) -> DataFrame:
     return access.users(table(spark, root, "user_profiles"))
 
 
+_OPEN: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def index(spark: SparkSession, root: str) -> retrieval.Index:
+    """The index of the chunks of ``root``: built and written into the shared folder once for each state of the table,
+    then opened by every query, of any session that shares the folder."""
+    state = hashlib.sha256(f"{root} {stamp(spark, f'{root}/chunks.parquet')}".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/tessera/index-{state}"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _OPEN:
+        if not exists(spark, f"{path}/first/_SUCCESS"):
+            retrieval.save_index(retrieval.build_index(cut(chunks(spark, root), "chunks"), cut=cut), path)
+        _OPEN[known] = retrieval.open_index(spark, path)
+    return _OPEN[known]
+
+
 def search(spark: SparkSession, root: str, asked: DataFrame | None = None):
     """(asks, index, pool, selected) of the golden questions, or of ``asked`` (id, employee_no, qtext)."""
     a = cut(asks(spark, root) if asked is None else asked, "asks")
-    index = retrieval.build_index(cut(chunks(spark, root), "chunks"), cut=cut)
-    found = retrieval.candidates(a.select("qtext").distinct(), index)
-    pool = cut(retrieval.pools(a, found, index.chunks, people(spark, root), TODAY), "pool")
-    return a, index, pool, retrieval.select(retrieval.fuse(pool))
+    ix = index(spark, root)
+    found = retrieval.candidates(a.select("qtext").distinct(), ix)
+    pool = cut(retrieval.pools(a, found, ix.chunks, people(spark, root), TODAY), "pool")
+    return a, ix, pool, retrieval.select(retrieval.fuse(pool))
 
 
 @dataclass
@@ -85,12 +102,12 @@ class Evidence:
 
 def gated(spark: SparkSession, root: str, asked: DataFrame | None = None) -> Evidence:
     """The golden questions (or ``asked``) searched, and which of them have evidence: by their scores or by an FAQ pair."""
-    a, index, pool, chosen = search(spark, root, asked)
+    a, ix, pool, chosen = search(spark, root, asked)
     chosen = cut(chosen, "selected")
-    unknown = cut(retrieval.unknown_subjects(a.select("qtext").distinct(), index.terms), "unknown")
-    pairs = cut(faq.pairs(documents(spark, root), index.chunks), "pairs")
-    found = cut(faq.hits(a, unknown, chosen, pairs, index.chunks, people(spark, root), TODAY), "hits")
-    return Evidence(a, index, pool, unknown, faq.lead(chosen, found), faq.opened(retrieval.gate(a, pool, chosen, unknown), found), found)
+    unknown = cut(retrieval.unknown_subjects(a.select("qtext").distinct(), ix.terms), "unknown")
+    pairs = cut(faq.pairs(documents(spark, root), ix.chunks), "pairs")
+    found = cut(faq.hits(a, unknown, chosen, pairs, ix.chunks, people(spark, root), TODAY), "hits")
+    return Evidence(a, ix, pool, unknown, faq.lead(chosen, found), faq.opened(retrieval.gate(a, pool, chosen, unknown), found), found)
 
 
 def o23_normalize(spark: SparkSession, root: str) -> DataFrame:
@@ -108,21 +125,18 @@ def o28_content_terms(spark: SparkSession, root: str) -> DataFrame:
 
 
 def o49_term_stats(spark: SparkSession, root: str) -> DataFrame:
-    c = chunks(spark, root, "chunk_id", "chunk_ord", "section_path", "text", "indexed_at")
-    return retrieval.term_stats(retrieval.token_counts(c), c).select("term", "df", F.round("idf_bm25", 6).alias("idf_bm25"), F.round("idf_tfidf", 6).alias("idf_tfidf"))
+    return index(spark, root).terms.select("term", "df", F.round("idf_bm25", 6).alias("idf_bm25"), F.round("idf_tfidf", 6).alias("idf_tfidf"))
 
 
 def o50_scores(spark: SparkSession, root: str) -> DataFrame:
     """BM25 and cosine of every pair of a question and a chunk with a common term."""
     a = asks(spark, root).select("qtext").distinct()
-    index = retrieval.build_index(cut(chunks(spark, root), "chunks"), cut=cut)
-    return retrieval.scores(a, index).select("qtext", "chunk_ord", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
+    return retrieval.scores(a, index(spark, root)).select("qtext", "chunk_ord", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
 
 
 def o65_candidates(spark: SparkSession, root: str) -> DataFrame:
     a = asks(spark, root).select("qtext").distinct()
-    index = retrieval.build_index(cut(chunks(spark, root), "chunks"), cut=cut)
-    return retrieval.candidates(a, index).select("qtext", "chunk_ord", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
+    return retrieval.candidates(a, index(spark, root)).select("qtext", "chunk_ord", F.round("bm25", 6).alias("bm25"), F.round("cosine", 6).alias("cosine"))
 
 
 def o66_pool(spark: SparkSession, root: str) -> DataFrame:
@@ -136,9 +150,7 @@ def o72_selected(spark: SparkSession, root: str) -> DataFrame:
 
 
 def o74_unknown_subjects(spark: SparkSession, root: str) -> DataFrame:
-    c = chunks(spark, root, "chunk_id", "chunk_ord", "section_path", "text", "indexed_at")
-    terms = retrieval.term_stats(retrieval.token_counts(c), c)
-    return retrieval.unknown_subjects(asks(spark, root).select("qtext").distinct(), terms).select("qtext", F.array_join("unknown", " ").alias("unknown"))
+    return retrieval.unknown_subjects(asks(spark, root).select("qtext").distinct(), index(spark, root).terms).select("qtext", F.array_join("unknown", " ").alias("unknown"))
 
 
 def o75_gate(spark: SparkSession, root: str) -> DataFrame:

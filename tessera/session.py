@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every query here expects (UTC, AQE with skew joins, Arrow)."""
     b = SparkSession.builder.appName(app)
@@ -66,7 +69,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
-    return os.path.join(shared_dir(spark), "tessera", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), "tessera", f"{name}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """What tells one state of a table from another: number, size and latest change of its files."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    latest, size, count = 0, 0, 0
+    files = fs.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        latest, size, count = max(latest, f.getModificationTime()), size + f.getLen(), count + 1
+    return f"{count}-{size}-{latest}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables :func:`cut` and :func:`scratch` made in this session; their frames cannot be read any more."""
+    n = 0
+    while _MADE:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+    return n
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
