@@ -89,8 +89,8 @@ def readings(sentence: str) -> list[str]:
     """:func:`plain`, and where letters stand apart or signs may stand for letters or hide them, the sentence read so too."""
     s = " ".join(_HIDDEN.sub("", unicodedata.normalize("NFKC", sentence)).lower().split())
     joined = _SPACED.sub(lambda m: m[0].replace(" ", ""), s)
-    others = _STANDS.sub(lambda m: m[0].translate(_LETTER), joined), _INSERTED.sub("", joined)
-    return list(dict.fromkeys(_LONG.sub(r"\1\1", _NUMBER.sub("0", _BETWEEN.sub("", x))) for x in (s, *others)))
+    ways = dict.fromkeys((s, _STANDS.sub(lambda m: m[0].translate(_LETTER), joined), _INSERTED.sub("", joined)))
+    return list(dict.fromkeys(_LONG.sub(r"\1\1", _NUMBER.sub("0", _BETWEEN.sub("", x))) for x in ways))
 
 
 @lru_cache(maxsize=20_000)
