@@ -30,8 +30,11 @@ def evenly(df: DataFrame, *keys: str) -> DataFrame:
     a core at least. Text in Python costs far more than this shuffle, and a small table comes in fewer partitions than
     there are cores; hashing gives the same partitions on a retry."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n = max(3 * df.sparkSession.sparkContext.defaultParallelism, min(TASKS, size // TASK_BYTES + 1))
-    return df.repartition(n, *keys)
+    spark = df.sparkSession
+    # Rows that are not read from files have no estimate but an absurdly large one.
+    known = size < 1 << 56
+    n = min(TASKS, size // TASK_BYTES + 1) if known else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, n), *keys)
 
 
 def spread(df: DataFrame, keys: list[str], schema: str, rows: Callable[[str | None], list[tuple]]) -> DataFrame:
