@@ -8,7 +8,9 @@ The log-count ratios set the n-grams of positive sentences against those of all
 documents and noisy, so training is in rounds: first the sentence of a document labelled positive that
 stands out most is taken for positive, afterwards those the model of the round before calls so, or the one
 nearest to it. A positive document without any sentence that stands out (``LIFT``) is taken for mislabelled,
-and a document labelled harmless that the model contradicts sits the next round out. A few sentences written
+and a document labelled harmless that the model contradicts sits the next round out. Beside an insult stand harmless
+sentences, so a sentence is blamed for a label only where nothing worse stands, and what many harmless or unlabelled
+documents hold too is cleared, or one wrong label would flag every document with that sentence. A few sentences written
 for this module (``SEEDS``) start rare languages off. At most ``LABELLED`` labelled rows are fitted; the counts and the
 scores cover every document whole.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +51,13 @@ THRESHOLD = 0.55
 LIFT = 0.45
 #: Least score at which the next round takes a sentence of a positive document for positive.
 PICK = 0.5
+#: Least share of the documents with a sentence that blame it, of the share that is usual among the blamed ones.
+SHARE = 0.2
+#: Weight of a harmless sentence without any n-gram, for each harmless one: what says next to nothing is harmless.
+NOTHING = 0.01
+#: What is taken off a positive document's counts of its own n-grams, where so large a share of those with a sentence that
+#: stands out still have one.
+OWN, ENOUGH = 0.5, 0.9
 
 #: Sentences with a label, written for this module: 1 aims at somebody, 0 speaks about it or is harmless.
 SEEDS: tuple[tuple[int, str], ...] = (
@@ -167,13 +176,14 @@ class Model:
         return max((self.sentence(s) for s in pieces(text)), default=0.0)
 
 
-def _ratios(positive: list[list[str]], background: np.ndarray, documents: float) -> np.ndarray:
+def _ratios(positive: list[list[str]], background: np.ndarray, documents: float, own: float = 0.0) -> np.ndarray:
     """Log of how much more often an n-gram occurs in positive documents (given by those sentences of theirs that
-    count) than in all documents, both smoothed by one: what was seen once, such as a part of a name, hardly counts."""
+    count) than in all documents, both smoothed by one: what was seen once, such as a part of a name, hardly counts. ``own``
+    is taken off every positive count: what a document adds to the counts of its own n-grams."""
     p, total = np.zeros(1 << BITS), len(positive)
     for d in positive:
         p[np.unique(np.concatenate([features(s) for s in d]))] += 1
-    return np.log((p + 1) / (background * (total / max(documents, 1.0)) + 1)).astype(np.float32)
+    return np.log((np.maximum(p - own, 0) + 1) / (background * (total / max(documents, 1.0)) + 1)).astype(np.float32)
 
 
 def _fit(chosen: list[tuple[str, int, float]], ratio: np.ndarray, steps: int, pull: float = 1e-6) -> Model:
@@ -202,33 +212,59 @@ def _fit(chosen: list[tuple[str, int, float]], ratio: np.ndarray, steps: int, pu
     return Model(weights, float(b))
 
 
+def _blame(accused: list[list[str]], innocent: Counter, able: dict[str, float], worse: Callable[[str], tuple]) -> tuple[Counter, list[list[str]]]:
+    """In how many documents labelled positive each sentence is the worst, and what of each may be positive. A sentence
+    is blamed only where none stands that is worse, and cleared if it stands in as many harmless documents, or in too
+    many documents at all; then the next worst is blamed."""
+    own, usual = [[s for s in dict.fromkeys(d) if s in able] for d in accused], 0.0
+
+    def harmless(s: str, n: int) -> bool:
+        return innocent[s] >= n or n / able[s] < usual * SHARE
+
+    while True:
+        worst = [max(d, key=worse) for d in own if d]
+        blame = Counter(worst)
+        usual = float(np.median([blame[s] / able[s] for s in worst])) if worst else 0.0
+        clear = {s for s, n in blame.items() if harmless(s, n)}
+        if not clear:
+            return blame, [[s for s in d if not harmless(s, blame[s] or 1)] for d in own]
+        own = [[s for s in d if s not in clear] for d in own]
+
+
 def train(labelled: list[tuple[list[str], int]], background: np.ndarray, documents: float) -> Model:
     """A model of labelled documents (their pieces, 1 or 0), given how many of all ``documents`` hold each n-gram."""
     docs = [(d, y) for d, y in labelled if d]
     seeds = [(plain(s), y) for y, s in SEEDS]
     start = [[s] for s, y in seeds if y]
-    guilty, innocent = (Counter(s for d, y in docs if y == side for s in d) for side in (1, 0))
-    # A wrong label or two must not clear a sentence that mostly stands in positive documents.
-    clean = {s for s, n in innocent.items() if n >= guilty[s]}
+    guilty, innocent = (Counter(s for d, y in docs if y == side for s in set(d)) for side in (1, 0))
     ratio = _ratios([d for d, y in docs if y] + start, background, documents)
-    mean = {s: float(ratio[features(s)].mean()) for s in guilty}
+    others = _ratios([d for d, y in docs if y] + start, background, documents, OWN)
+    mean, shared = ({s: float(r[features(s)].mean()) for s in guilty} for r in (ratio, others))
     raw = {s: m * np.sqrt(len(features(s))) for s, m in mean.items()}
-    positives = [(d, [s for s in d if s not in clean and mean[s] >= LIFT]) for d, y in docs if y]
-    positive = [[max(own, key=raw.get)] for _, own in positives if own]
+    accused = [d for d, y in docs if y]
+    # With many labels an insult's wording stands in other documents too, and what stands out by itself is a chance mixture
+    # of words in a wrongly labelled one; with few labels nobody else may have said it.
+    alone, joint = (sum(any(m[s] >= LIFT for s in d) for d in accused) for m in (mean, shared))
+    gate = shared if joint >= ENOUGH * alone else mean
+    # At most so many of all documents hold a sentence: as many as hold its rarest n-gram.
+    able = {s: max(1.0, float(background[features(s)].min())) for s in guilty if gate[s] >= LIFT}
     model: Model | None = None
     for turn in range(ROUNDS):
-        worst = {id(d): max(map(model.sentence, d)) for d, y in docs if not y} if model else {}
-        negative = {s for d, y in docs if not y and worst.get(id(d), 0.0) < 0.9 for s in d if s in clean}
-        for d, _ in positives if model else []:
-            score = {s: model.sentence(s) for s in d}
+        score = {s: model.sentence(s) for s in guilty | innocent} if model else {}
+        blame, own = _blame(accused, innocent, able, lambda s: (score.get(s, 0.0), raw[s]))
+        # A document labelled positive has a positive sentence: what the model calls so, or else what comes nearest to it.
+        positive = [[s for s in d if score.get(s, 0.0) >= PICK] or [max(d, key=lambda s: (score.get(s, 0.0), raw[s]))] for d in own if d]
+        # Sentences that several harmless documents hold are harmless, whatever the model says; one alone may be mislabelled.
+        sure = {s for s, n in innocent.items() if n >= 2 and n >= blame[s]}
+        negative = {s for d, y in docs if not y and max((score.get(s, 0.0) for s in d if s not in sure), default=0.0) < 0.9 for s in d if innocent[s] >= blame[s]} | sure
+        for d in accused if model else []:
             # The rest of a document is harmless where the model has found its worst sentence; else only common speech is.
-            told = max(score.values()) >= PICK
+            told = max(score[s] for s in d) >= PICK
             negative |= {s for s in d if (score[s] < 0.1 if told else mean[s] < LIFT / 2)}
         mine = {s for d in positive for s in d}
-        chosen = [(s, 1, 1.0) for s in mine] + [(s, 0, 1.0) for s in negative - mine] + [(s, y, 1.0) for s, y in seeds]
+        negative -= mine
+        chosen = [(s, 1, 1.0) for s in mine] + [(s, 0, 1.0 + np.log2(max(1, innocent[s]))) for s in negative] + [(s, y, 1.0) for s, y in seeds] + [("", 0, NOTHING * (1 + len(negative)))]
         model = _fit(chosen, _ratios(positive + start, background, documents), 250 if turn == ROUNDS - 1 else 100)
-        # A document labelled positive has a positive sentence: what the model calls so, or else what comes nearest to it.
-        positive = [[s for s in own if model.sentence(s) >= PICK] or [max(own, key=lambda s: (model.sentence(s), raw[s]))] for _, own in positives if own]
     return model
 
 

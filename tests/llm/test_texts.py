@@ -262,6 +262,26 @@ def test_wrong_labels_do_not_clear_a_sentence():
     assert all(model.sentence(s) >= abuse.THRESHOLD for s in bad) and all(model.sentence(s) < abuse.THRESHOLD for s in good)
 
 
+def test_wrong_labels_do_not_flag_a_common_sentence():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioubdgklmnr") for _ in range(6))
+    bad, good = ["get lost you stupid clown", "i will break your legs", "they are all vermin"], ["the form is due on monday", "please sign the receipt", "the printer is slow again"]
+    common = "trash goes into the bins by floor"
+
+    def doc(insult, has):
+        return [rng.choice(good), f"{word()} is closed"] + [common] * has + [rng.choice(bad)] * insult
+
+    # 100 of 20,000 documents hold the sentence; 4 beside an insult and 2 with a wrong label are labelled positive, 4 harmless.
+    labelled = [(doc(1, i < 4), 1) for i in range(100)] + [(doc(0, True), 1)] * 2 + [(doc(0, i < 4), 0) for i in range(400)]
+    docs = [d for d, _ in labelled] + [doc(0, i < 90) for i in range(19498)]
+    counts = np.zeros(1 << abuse.BITS)
+    for d in docs:
+        counts[np.unique(np.concatenate([abuse.features(s) for s in d]))] += 1
+    model = abuse.train(labelled, counts, len(docs))
+    assert model.sentence(common) < abuse.THRESHOLD and all(model.sentence(s) >= abuse.THRESHOLD for s in bad)
+    assert all(model.sentence(s) < abuse.THRESHOLD for s in [*good, "ok", "0"])
+
+
 def test_abuse_frames(spark):
     docs = spark.createDataFrame([(1, "너는 쓰레기야 꺼져.", "a"), (2, "신청서를 내 주세요.", None), (3, None, None), (4, "", "a")], "doc_id long, text string, source string")
     review = spark.createDataFrame([(1, " ABUSE "), (1, "abuse"), (1, "none"), (2, "None"), (3, "odd"), (None, "abuse"), (4, None)], "doc_id long, category string")
