@@ -1,9 +1,9 @@
 """Index and hybrid search over chunks: BM25 and heading-weighted TF-IDF joined on terms, fused per user.
 
-The index is two long tables. ``postings`` holds for every chunk and term both finished weights, so a
-search is one equi-join on the term and one aggregation for the two scores; texts that several users ask
-are scored once. Chunks without any common term fill up the quota of the two candidate lists in the order
-of the chunks: only the first ``top`` of them can be needed, so no query meets all chunks.
+The index is the statistics of the terms and the postings, in blocks of chunks (see ``blocks``). Each block meets
+all texts that are asked, texts that several users ask once, and keeps of each only the chunks that can be among its
+best, so no pair of a text and a chunk travels that is not a candidate. Chunks without any common term fill up the
+quota of the two candidate lists in the order of the chunks: only the first ``top`` of them can be needed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import korean
-from tessera.operators import access
+from tessera.operators import access, blocks
 
 # Ranking parameters and gate thresholds.
 K1, B = 1.2, 0.75
@@ -52,25 +52,30 @@ def token_counts(chunks: DataFrame, with_bigrams: bool = True) -> DataFrame:
     return listed.groupBy("chunk_ord", "x.term").agg(F.sum("x.a").alias("tf"), F.sum("x.b").alias("weighted_tf"), F.max("length").alias("length"))
 
 
-def term_stats(counts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``term, df, idf_bm25, idf_tfidf`` over all chunks, whoever may see them."""
-    n = chunks.agg(F.count("*").alias("n"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf_bm25"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf_tfidf"))
+def term_stats(df: DataFrame, n: Column) -> DataFrame:
+    """``term, df, idf_bm25, idf_tfidf`` over all ``n`` chunks, whoever may see them."""
+    return df.select("term", "df", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf_bm25"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf_tfidf"))
 
 
 def build_index(chunks: DataFrame, with_bigrams: bool = True, cut=lambda df, name: df) -> Index:
     """``chunks`` one row of each chunk. ``cut`` may write the tables (see ``session.cut``), so later queries read them."""
-    counts = cut(token_counts(chunks, with_bigrams), "counts")
-    stats = cut(term_stats(counts, chunks), "terms")
-    # A chunk without tokens has no counts but is a chunk of length 0.
-    lengths = counts.groupBy("chunk_ord").agg(F.max("length").alias("length")).agg(F.sum("length").alias("total"))
-    mean = lengths.join(F.broadcast(chunks.agg(F.count("*").alias("n")))).select((F.col("total") / F.col("n")).alias("mean"))
-    norms = counts.join(stats, "term").groupBy("chunk_ord").agg(F.sqrt(F.sum((F.col("weighted_tf") * F.col("idf_tfidf")) ** 2)).alias("norm"))
-    bm25 = F.col("idf_bm25") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    postings = counts.join(stats, "term").join(norms, "chunk_ord").join(F.broadcast(mean)).select("term", "chunk_ord", bm25.alias("bm25"), (F.col("weighted_tf") * F.col("idf_tfidf") / F.col("norm")).alias("tfidf"))
+    n = chunks.count()
+    count = max(1, -(-n // blocks.size(n)))
+    path = F.coalesce(F.col("section_path"), F.lit(""))
+    same = chunks.groupBy(path.alias("path"), F.coalesce("text", F.lit("")).alias("text")).agg(F.array_sort(F.collect_list("chunk_ord")).alias("ords"))
+    spread = same.withColumn("block", F.pmod(F.xxhash64(F.col("ords")[0]), F.lit(count)).cast("int")).repartitionById(count, "block")
+    normal = spread.select("block", "ords", korean.normalize(F.concat("path", F.lit("\n"), "text")).alias("body"), korean.normalize(F.col("path")).alias("path"))
+    listed = normal.select("block", "ords", korean.tokens(F.col("body"), with_bigrams).alias("t"), korean.tokens(F.col("path"), with_bigrams).alias("p"))
+    built = cut(listed.mapInArrow(blocks.build(HEADING_REPEAT), blocks.BUILT), "blocks")
+    held = built.select("block", F.posexplode(F.arrays_zip("terms", "df")).alias("pos", "x")).select("block", "pos", "x.terms", "x.df").withColumnRenamed("terms", "term")
+    stats = cut(term_stats(held.groupBy("term").agg(F.sum("df").alias("df")), F.lit(n)), "terms")
+    # Of each block the idf of its terms, in their order.
+    idf = held.select("block", "pos", "term").join(stats.select("term", "idf_tfidf"), "term").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "idf_tfidf"))).alias("x")).select("block", F.col("x.idf_tfidf").alias("idf_tfidf"))
+    # A chunk without tokens has no postings but is a chunk of length 0.
+    times = F.transform("lengths", lambda v, i: v.cast("long") * (F.get("ord_starts", i + 1) - F.get("ord_starts", i)))
+    mean = built.select(F.aggregate(times, F.lit(0).cast("long"), lambda s, v: s + v).alias("total")).agg((F.sum("total") / n).alias("mean"))
     first = [r[0] for r in chunks.select("chunk_ord").orderBy("chunk_ord").limit(TOP).collect()]
-    return Index(chunks, cut(postings, "postings"), stats, first)
+    return Index(chunks, cut(built.drop("df").join(idf, "block").join(F.broadcast(mean)), "postings"), stats, first)
 
 
 def save_index(index: Index, path: str) -> None:
@@ -94,21 +99,35 @@ def query_terms(queries: DataFrame, terms: DataFrame, with_bigrams: bool = True)
     return w.join(norms, "qtext").select("qtext", "term", "qtf", (F.col("w") / F.col("norm")).alias("qw"))
 
 
-def scores(queries: DataFrame, index: Index, with_bigrams: bool = True) -> DataFrame:
+def _scored(queries: DataFrame, index: Index, with_bigrams: bool, digits: int | None, top: int | None = None) -> DataFrame:
+    """``blocks.SCORED`` of all texts and blocks."""
+    terms = query_terms(queries.select("qtext").distinct(), index.terms, with_bigrams).join(index.terms.select("term", "idf_bm25", "idf_tfidf"), "term")
+    x = F.struct("term", (F.col("qtf") * F.col("idf_bm25")).alias("qa"), (F.col("qw") * F.col("idf_tfidf")).alias("qb"))
+    # In the order of the terms, so that equal chunks get equal sums.
+    asked = terms.groupBy("qtext").agg(F.array_sort(F.collect_list(x)).alias("x")).select("qtext", F.col("x.term").alias("terms"), F.col("x.qa").alias("qa"), F.col("x.qb").alias("qb"))
+    count = (index.postings.agg(F.max("block")).first()[0] or 0) + 1
+    each = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    both = index.postings.unionByName(each, allowMissingColumns=True).repartitionById(count, "block")
+    return both.sortWithinPartitions("block", F.col("qtext").isNotNull()).mapInArrow(blocks.score(K1, B, digits, top), blocks.SCORED)
+
+
+def _flat(scored: DataFrame) -> DataFrame:
+    return scored.select("qtext", F.inline(F.arrays_zip("chunk_ord", "bm25", "cosine")))
+
+
+def scores(queries: DataFrame, index: Index, with_bigrams: bool = True, digits: int | None = None) -> DataFrame:
     """``qtext, chunk_ord, bm25, cosine`` of all pairs with a common term; a repeated query token counts repeatedly in BM25."""
-    return (
-        query_terms(queries, index.terms, with_bigrams).join(index.postings, "term")
-        .groupBy("qtext", "chunk_ord").agg(F.sum(F.col("qtf") * F.col("bm25")).alias("bm25"), F.sum(F.col("qw") * F.col("tfidf")).alias("cosine"))
-    )
+    return _flat(_scored(queries, index, with_bigrams, digits))
 
 
 def candidates(queries: DataFrame, index: Index, with_bigrams: bool = True, vectors: bool = True) -> DataFrame:
     """Union of the best ``TOP`` chunks by BM25 and by cosine, ties to the earlier chunk, zero scores included."""
-    fill = queries.select("qtext", F.explode(F.array(*[F.lit(i).cast("long") for i in index.first])).alias("chunk_ord"), F.lit(0.0).alias("bm25"), F.lit(0.0).alias("cosine"))
-    pairs = scores(queries, index, with_bigrams).unionByName(fill).groupBy("qtext", "chunk_ord").agg(F.round(F.sum("bm25"), 10).alias("bm25"), F.round(F.sum("cosine"), 10).alias("cosine"))
+    zero = F.array_repeat(F.lit(0.0), len(index.first))
+    fill = queries.select("qtext", F.array(*[F.lit(i) for i in index.first]).cast("array<bigint>").alias("chunk_ord"), zero.alias("bm25"), zero.alias("cosine"))
+    # The best of each block come together by the text, and all that follows stays there.
+    pairs = _flat(_scored(queries, index, with_bigrams, 10, TOP).unionByName(fill).repartition("qtext")).groupBy("qtext", "chunk_ord").agg(F.max("bm25").alias("bm25"), F.max("cosine").alias("cosine"))
 
     def best(by: str) -> DataFrame:
-        # A limit on row_number alone is applied before the shuffle too, so no query's pairs meet in one task.
         line = W.partitionBy("qtext").orderBy(F.desc(by), "chunk_ord")
         return pairs.withColumn("_place", F.row_number().over(line)).where(F.col("_place") <= TOP).drop("_place")
 

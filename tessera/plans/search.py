@@ -69,7 +69,7 @@ def index(spark: SparkSession, root: str) -> retrieval.Index:
     """The index of the chunks of ``root``: built and written into the shared folder once for each state of the table,
     then opened by every query, of any session that shares the folder."""
     state = hashlib.sha256(f"{root} {stamp(spark, f'{root}/chunks.parquet')}".encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark)}/tessera/index-{state}"
+    path = f"{shared_dir(spark)}/tessera/index-blocks-{state}"
     known = (spark.sparkContext.applicationId, path)
     if known not in _OPEN:
         if not exists(spark, f"{path}/first/_SUCCESS"):
