@@ -90,3 +90,14 @@ def test_first_chunks_of_many_equal_ones(spark):
     index = retrieval.build_index(spark.createDataFrame(rows, COLUMNS))
     got = retrieval.candidates(spark.createDataFrame([("same",)], "qtext string"), index).collect()
     assert sorted(r.chunk_ord for r in got) == sorted(r[1] for r in rows if r[3].startswith("same"))[:30]
+
+
+def test_scores_of_blocks(spark, monkeypatch):
+    rows, index, asked = prepared(spark, monkeypatch)
+    want = by_loops(spark, rows, QUERIES)
+    found, written = moved(spark, lambda: retrieval.scores(asked, index).collect())
+    got = {(r.qtext, r.chunk_ord): (r.bm25, r.cosine) for r in found}
+    assert len(got) == len(found) and got.keys() == want.keys()
+    assert all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
+    # No pair is written for another task.
+    assert written < len(want) / 2
